@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _tokenizer(name: str) -> str:
@@ -51,9 +52,47 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(docs, _tokenizer("byte_bpe_multi_50k.tiktoken"), PATTERN)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import token_packed
+
+    return token_packed(spark.read.parquet(f"{sf_dir}/documents.parquet"), _tokenizer("byte_bpe_50k.json"))
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import repaired
+
+    return repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import exact_topk
+
+    return exact_topk(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, 20)
+
+
+OP8_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s
+)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
+"""
+
+
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_groups
+
+    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_exact_dedup, op5_bpe_codec)}
+    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_exact_dedup, op4_packing, op5_bpe_codec, op6_chat, op8_topk, op9_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op8_topk": OP8_SQL}

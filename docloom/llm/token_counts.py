@@ -303,15 +303,16 @@ def count_tokens(transducer: CountTransducer, data: np.ndarray, offsets: np.ndar
 _compiled: dict[object, CountTransducer] = {}
 
 
-def token_counts(df: DataFrame, path: str, text: str = "text", count: str = "n_tokens") -> DataFrame:
+def token_counts(df: DataFrame, path: str, text: str = "text", count: str = "n_tokens", keep_text: bool = False) -> DataFrame:
     """``df`` with the token count of every whole text in column ``count``, which replaces one of that name.
 
     ``path``: a byte-level BPE in the JSON format of the ``tokenizers`` library; it is read on the driver and
     sent along. Null counts as empty, an empty text has no tokens, special strings inside texts are one token
-    each, nothing is added or cut off. Rows, other columns and their order stay as they are.
+    each, nothing is added or cut off. Rows, other columns and their order stay as they are; the text itself comes
+    back only with ``keep_text``.
     """
     held = shipped(df.sparkSession, read_json(path))
-    keep = [c for c in df.columns if c != count]
+    keep = [c for c in df.columns if c != count and (keep_text or c != text)]
     at = len(keep)
     wide = df.select(*(df[c] for c in keep), text_or_empty(df, text).alias("__text"))
 
