@@ -90,8 +90,14 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import repeated_passages
+
+    return repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("mark")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_exact_dedup, op4_packing, op5_bpe_codec, op6_chat, op8_topk, op9_jaccard)}
+    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_exact_dedup, op4_packing, op5_bpe_codec, op6_chat, op8_topk, op9_jaccard, op10_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
