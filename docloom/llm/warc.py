@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import fresh_path, written
 
 #: Bytes of payload in a shard, and of compressed archive after which a new file begins.
-SHARD_BYTES, ROLL_BYTES = 256 << 20, 64 << 20
+SHARD_BYTES, ROLL_BYTES = 64 << 20, 32 << 20
 #: Every record's WARC-Date unless another is given: archives must not depend on the clock.
 DATE = "1970-01-01T00:00:00Z"
 
