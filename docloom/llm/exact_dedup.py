@@ -22,8 +22,11 @@ from .common import fresh_path, text_or_empty, written
 #: Parts into which the rows of one digest are dealt when their bytes are compared.
 SALTS = 32
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State lies in RocksDB; stores that are small and many must not allocate their logs ahead.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -44,15 +47,17 @@ def arrivals_state(arrivals: DataFrame) -> DataFrame:
     digest, stays (doc_id, file_path, row_index) and the number of arrivals."""
     spark = arrivals.sparkSession
     folder, checkpoint = arrivals.inputFiles()[0].rpartition("/")[0], fresh_path(spark, "dedup-state")
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKS)
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(arrivals.schema).parquet(folder)
         state = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "file_path", "row_index")).alias("stays"), F.count("*").alias("arrived"))
         query = state.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     kept = spark.read.format("statestore").load(checkpoint)
     value = [f.name for f in kept.schema["value"].dataType.fields]
     return kept.select(F.col("key.digest").alias("digest"), F.col("value")[value[0]].alias("stays"), F.col("value")[value[1]].alias("arrived"))
