@@ -64,6 +64,12 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import exact_topk
 
@@ -97,7 +103,7 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_exact_dedup, op4_packing, op5_bpe_codec, op6_chat, op8_topk, op9_jaccard, op10_passages)}
+    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_exact_dedup, op4_packing, op5_bpe_codec, op6_chat, op7_toxicity, op8_topk, op9_jaccard, op10_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
