@@ -192,7 +192,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows in order of sid, df and token: each set's shared members and its prefixes in three orders."""
-    names = ["sid", "n", "tokens", "first", "second", "third"]
+    names = ["sid", "n", "m", "tokens", "first", "second", "third"]
     held = None
 
     def sets(table, whole):
@@ -210,12 +210,12 @@ def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t, f = token[a:b].view(np.uint64), df[a:b]
             other, third = mix64(t ^ np.uint64(0x5851F42D4C957F2D)), mix64(t ^ np.uint64(0x14057B7EF767814F))
             pick = lambda order: np.sort(t[order[:prefix]]).tobytes()  # noqa: B023, E731
-            rows.append((int(sid[a]), size, np.sort(t).tobytes(), t[:prefix].tobytes(), pick(np.lexsort((other, f))), pick(np.argsort(third))))
+            rows.append((int(sid[a]), size, b - a, np.sort(t).tobytes(), t[:prefix].tobytes(), pick(np.lexsort((other, f))), pick(np.argsort(third))))
         at = int(ends[-1]) if len(ends) else 0
         return rows, [x[at:] for x in table]
 
     def batch_of(rows):
-        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        kinds = [*[pa.int64()] * 3, *[pa.binary()] * 4]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
 
     for batch in batches:
@@ -234,10 +234,10 @@ def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = bytes_of(batch.column(2))
+        data, offsets = bytes_of(batch.column(3))
         size = np.diff(offsets) // 8
-        sid, n = (np.repeat(batch.column(k).to_numpy(), size) for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data.tobytes(), "<i8")), pa.array(sid), pa.array(n)], ["token", "sid", "n"])
+        sid, n, m = (np.repeat(batch.column(k).to_numpy(), size) for k in (0, 1, 2))
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data.tobytes(), "<i8")), pa.array(sid), pa.array(n), pa.array(m)], ["token", "sid", "n", "m"])
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -278,25 +278,35 @@ def _survivors(first: DataFrame) -> DataFrame:
     return met.unionByName(local).groupBy("sid").agg(F.sum("n").alias("shared"))
 
 
+def _may_link(n_a: F.Column, m_a: F.Column, n_b: F.Column, m_b: F.Column) -> F.Column:
+    """Whether sets of these sizes can overlap enough with the members that they share with any other set."""
+    sizes = F.least(n_a, n_b) * PERCENT_OF >= F.greatest(n_a, n_b) * PERCENT
+    return sizes & (F.least(m_a, m_b) * (PERCENT_OF + PERCENT) >= (n_a + n_b) * PERCENT)
+
+
 def _roots(sets: DataFrame) -> DataFrame:
     """node and root of all sets that are linked with another. ``sets``: a written table of _ordered."""
-    postings = sets.select("sid", "n", "first").mapInArrow(_postings, "token long, sid long, n long")
-    frequent = written(postings, "near-postings")
+    postings = written(sets.select("sid", "n", "m", "first").mapInArrow(_postings, "token long, sid long, n long, m long"), "near-postings")
+    # Pivots: the set of a bucket that shares the largest part of its members, and then the one that shares most.
+    own = ("sid", "n", "m", "root")
+    pivots = [F.max(F.struct((F.col("m") / F.col("n")).alias("share"), *own)), F.max(F.struct(F.col("m").alias("share"), *own)), None]
     links, roots = None, None
-    for last in (F.min, F.max, None):
-        now = frequent if roots is None else frequent.join(roots, frequent["sid"] == roots["node"], "left").select("token", "sid", "n", F.coalesce("root", "sid").alias("root"))
-        now = now.withColumn("root", F.col("sid")) if roots is None else now
-        open_ = now.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most"), *([last(F.struct("sid", "root")).alias("pivot")] if last else [])).where("least <> most")
-        if last is not None:
-            met = now.join(open_.select("token", "pivot"), "token").where("root <> pivot.root").groupBy(F.col("sid").alias("a"), F.col("pivot.sid").alias("b")).count()
+    for pivot in pivots:
+        if roots is None:
+            now = postings.withColumn("root", F.col("sid"))
+        else:
+            now = postings.join(roots, postings["sid"] == roots["node"], "left").select("token", "sid", "n", "m", F.coalesce("root", "sid").alias("root"))
+        open_ = now.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most"), *([] if pivot is None else [pivot.alias("p")])).where("least <> most")
+        if pivot is not None:
+            may = (F.col("root") != F.col("p.root")) & _may_link(F.col("n"), F.col("m"), F.col("p.n"), F.col("p.m"))
+            met = now.join(open_.select("token", "p"), "token").where(may).groupBy(F.col("sid").alias("a"), F.col("p.sid").alias("b")).count()
             best = met.groupBy("a").agg(F.max(F.struct("count", -F.col("b"), "b")).alias("best"))
             pairs = best.select("a", F.col("best.b").alias("b"))
         else:
             active = now.join(open_.select("token"), "token", "left_semi")
-            x = active.select("token", F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-            y = active.select("token", F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-            sizes = F.least("n_a", "n_b") * PERCENT_OF >= F.greatest("n_a", "n_b") * PERCENT
-            pairs = x.join(y, "token").where((F.col("root_a") < F.col("root_b")) & sizes).select("a", "b").distinct()
+            x, y = (active.select("token", F.col("sid").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in own[1:])) for k in "ab")
+            may = (F.col("root_a") < F.col("root_b")) & _may_link(*(F.col(c) for c in ("n_a", "m_a", "n_b", "m_b")))
+            pairs = x.join(y, "token").where(may).select("a", "b").distinct()
         found = written(_links(pairs, sets), "near-links")
         links = found if links is None else links.unionByName(found)
         roots = written(components(links), "near-roots")
@@ -321,7 +331,7 @@ def near_groups(docs: DataFrame, mark: F.Column | None = None) -> DataFrame:
     texts = rows.join(left, rows["doc_id"].eqNullSafe(left["rep"])).select("sid", "sig", "text")
     members = texts.mapInArrow(_members, "token long, sid long, n long")
     shared = members.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(_frequencies, "sid long, n long, df int, token long")
-    ordered = shared.repartition("sid").sortWithinPartitions("sid", "df", "token").mapInArrow(_ordered, "sid long, n long, tokens binary, first binary, second binary, third binary")
+    ordered = shared.repartition("sid").sortWithinPartitions("sid", "df", "token").mapInArrow(_ordered, "sid long, n long, m long, tokens binary, first binary, second binary, third binary")
     ordered = written(ordered, "near-ordered")
     roots = _roots(ordered)
     linked = sets.join(roots, sets["sid"] == roots["node"])
