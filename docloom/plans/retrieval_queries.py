@@ -1 +1,376 @@
-"""Queries."""
+"""Queries over vectors and ranked results."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from docloom.functions import text as t
+from docloom.functions import vectors as v
+from docloom.operators import search
+
+from .registry import query, table, values
+
+vectors = lambda spark, d: table(spark, d, "embeddings")
+docs = lambda spark, d: table(spark, d, "documents")
+
+
+def asked(spark, d):
+    """The vectors that ask: every row whose id is divisible by 20."""
+    return vectors(spark, d).where("vec_id % 20 = 0")
+
+
+def texts(spark, d):
+    """The texts that ask: every item of the benchmark."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def both(spark, d):
+    """Items that ask with their text and the vector of the same id."""
+    return table(spark, d, "benchmark").join(vectors(spark, d), F.col("item_id") == F.col("vec_id")).select("vec_id", "embedding")
+
+
+SCORE = {"cosine": "list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[])", "ip": "list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[])", "l2": "list_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) ** 2"}
+
+
+def nearest_sql(k: int, metric: str = "cosine", asks: str = "q.vec_id % 20 = 0", own: str = "q.vec_id <> c.vec_id") -> str:
+    order = "score" if metric == "l2" else "score DESC"
+    return f"""SELECT query_id, vec_id, score, CAST(n AS INTEGER) AS rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}, vec_id) AS n FROM (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, round({SCORE[metric]}, 9) AS score FROM embeddings q JOIN embeddings c ON {asks} AND {own})) WHERE n <= {k}"""
+
+
+def _knn(metric):
+    def run(spark, d):
+        return search.nearest(asked(spark, d), vectors(spark, d), 10, metric)
+
+    return run
+
+
+for _m in search.METRICS:
+    query(nearest_sql(10, _m), f"knn_{_m}")(_knn(_m))
+
+
+@query("SELECT q.vec_id AS query_id, c.vec_id AS vec_id, round(round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9), 6) AS score FROM embeddings q JOIN embeddings c ON q.vec_id % 20 = 0")
+def join_cross_similarity(spark, d):
+    n = vectors(spark, d).count()
+    out = search.nearest(asked(spark, d), vectors(spark, d), max(1, n), skip_own=False)
+    return out.select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT query_id, vec_id, score, rank FROM ({nearest_sql(5)}) WHERE score >= 0.3")
+def knn_api(spark, d):
+    return search.nearest(asked(spark, d), vectors(spark, d), 5).where("score >= 0.3")
+
+
+query(f"SELECT query_id, vec_id, score, rank FROM ({nearest_sql(5)}) WHERE score >= 0.35", "filter_threshold_after_topk")(lambda spark, d: search.nearest(asked(spark, d), vectors(spark, d), 5).where("score >= 0.35"))
+
+
+@query(f"SELECT * FROM ({nearest_sql(3)})")
+def win_topk(spark, d):
+    return search.nearest(asked(spark, d), vectors(spark, d), 3)
+
+
+@query("SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6)) AS unit FROM embeddings")
+def l2_normalize(spark, d):
+    return vectors(spark, d).select("vec_id", F.transform(v.normalized(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
+
+
+@query("SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def cosine(spark, d):
+    a, b = vectors(spark, d), vectors(spark, d).select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return a.join(b, "vec_id").select("vec_id", F.round(v.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
+
+
+@query("SELECT doc_id, list_concat(list_transform(range(0, 16), lambda k: round((instr('0123456789abcdef', substr(md5(text), 2 * k + 1, 1)) * 16 - 17 + instr('0123456789abcdef', substr(md5(text), 2 * k + 2, 1))) / 255, 6)), list_transform(range(0, 368), lambda k: 0.0::DOUBLE)) AS embedding FROM documents")
+def embed_hash(spark, d):
+    return docs(spark, d).select("doc_id", F.transform(v.hashed(F.col("text")), lambda x: F.round(x, 6)).alias("embedding"))
+
+
+@query()
+def vec_fp16(spark, d):
+    half = v.halved(F.col("embedding"))
+    return vectors(spark, d).select("vec_id", half.alias("half"), F.round(v.cosine(F.col("embedding"), half), 6).alias("kept"))
+
+
+@query()
+def vec_pq(spark, d):
+    return search.product_codes(vectors(spark, d))
+
+
+@query()
+def ann_ivf(spark, d):
+    return search.nearest_by_lists(asked(spark, d), vectors(spark, d))
+
+
+@query()
+def ann_hnsw(spark, d):
+    return search.nearest_by_hashing(asked(spark, d), vectors(spark, d))
+
+
+@query("SELECT vec_id, label FROM embeddings UNION ALL SELECT vec_id + (SELECT max(vec_id) + 1 FROM embeddings) AS vec_id, label FROM embeddings WHERE label = 0")
+def vec_add(spark, d):
+    now = vectors(spark, d).select("vec_id", "label")
+    top = now.agg(F.max("vec_id")).first()[0]
+    return now.unionByName(now.where("label = 0").withColumn("vec_id", F.col("vec_id") + top + 1))
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM embeddings WHERE label = 3)")
+def vec_delete(spark, d):
+    now = vectors(spark, d).select("vec_id", "label")
+    return now.join(now.where("label = 3").select("vec_id"), "vec_id", "left_anti")
+
+
+@query("SELECT count(*) AS wrong FROM embeddings WHERE len(embedding) <> 64")
+def validate_vectors(spark, d):
+    return vectors(spark, d).where(F.size("embedding") != 64).agg(F.count("*").alias("wrong"))
+
+
+@query("SELECT count(*) AS vectors, CAST(max(len(embedding)) AS INTEGER) AS dimension, count(*) * max(len(embedding)) * 4 / 1048576.0::DOUBLE AS megabytes FROM embeddings")
+def index_physical_stats(spark, d):
+    return vectors(spark, d).agg(F.count("*").alias("vectors"), F.max(F.size("embedding")).alias("dimension"), (F.count("*") * F.max(F.size("embedding")) * 4 / 1048576.0).alias("megabytes"))
+
+
+def bm25_sql(k: int, variant: str = "okapi") -> str:
+    k1 = 1.5 if variant == "okapi" else 1.2
+    idf = "ln(n - df + 0.5) - ln(df + 0.5)" if variant == "okapi" else "ln(1 + (n - df + 0.5) / (df + 0.5))"
+    fixed = "CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END" if variant == "okapi" else "idf"
+    return rf"""WITH split AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '') AS w FROM documents),
+    flat AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM split),
+    tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM flat GROUP BY ALL),
+    stats AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM split),
+    raw AS (SELECT term, {idf} AS idf FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), stats),
+    ask AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS term FROM benchmark) GROUP BY ALL),
+    s AS (SELECT query_id, doc_id, round(sum(times * {fixed} * tf * {k1 + 1} / (tf + {k1} * (0.25 + 0.75 * dl / mean))), 9) AS score FROM ask JOIN raw USING (term) JOIN tf USING (term), stats GROUP BY ALL)
+    SELECT query_id, doc_id, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM s WHERE score > 0) WHERE r <= {k}"""
+
+
+def rounded(df):
+    return df.withColumn("score", F.round("score", 6))
+
+
+def six(sql: str) -> str:
+    return f"SELECT * REPLACE (round(score, 6) AS score) FROM ({sql})"
+
+
+@query(six(bm25_sql(20)))
+def bm25(spark, d):
+    return rounded(search.bm25(texts(spark, d), docs(spark, d)))
+
+
+@query(six(bm25_sql(20, "lucene")))
+def bm25_elastic(spark, d):
+    return rounded(search.bm25(texts(spark, d), docs(spark, d), variant="lucene"))
+
+
+query(six(bm25_sql(20)), "sparse_retrieval")(lambda spark, d: rounded(search.bm25(texts(spark, d), docs(spark, d), 20)))
+
+
+@query(six(f"SELECT * FROM ({bm25_sql(1000000)}) WHERE score > 5"))
+def filter_bm25_positive(spark, d):
+    return rounded(search.bm25(texts(spark, d), docs(spark, d), 1_000_000).where("score > 5"))
+
+
+# Ranked lists with ties, equal scores and a single entry, for the normalisations.
+SCORES = [(1, 1, 0.9), (1, 2, 0.5), (1, 3, 0.5), (1, 4, 0.1), (2, 1, 0.7), (2, 2, 0.7), (3, 1, 0.2), (4, 1, -1.0), (4, 2, 3.0)]
+SCORES_SQL = values(SCORES, "query_id, id, score")
+
+
+def _scores(spark):
+    return spark.createDataFrame(SCORES, "query_id int, id int, score double")
+
+
+def _norm(how):
+    return lambda spark, d: _scores(spark).select("query_id", "id", F.round(search.normalized(F.col("score"), how, ["query_id"], "id"), 6).alias("x"))
+
+
+NORM = {
+    "minmax": "CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END",
+    "zscore": "CASE WHEN stddev_pop(score) OVER w = 0 THEN 1.0 ELSE (score - avg(score) OVER w) / stddev_pop(score) OVER w END",
+    "rank": "1.0 / row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)",
+}
+for _how, _sql in NORM.items():
+    query(f"SELECT query_id, id, round(CAST({_sql} AS DOUBLE), 6) AS x FROM (SELECT query_id, id, score::DOUBLE AS score FROM {SCORES_SQL}) WINDOW w AS (PARTITION BY query_id)", f"norm_{_how}")(_norm(_how))
+
+
+@query(f"SELECT query_id, id, round(1 / (1 + exp(-score::DOUBLE)), 6) AS x FROM {SCORES_SQL}")
+def rerank_norm_sigmoid(spark, d):
+    return _scores(spark).select("query_id", "id", F.round(1 / (1 + F.exp(-F.col("score"))), 6).alias("x"))
+
+
+@query(f"SELECT query_id, id, round(CASE WHEN max(z) OVER v = min(z) OVER v THEN 1.0 ELSE (z - min(z) OVER v) / (max(z) OVER v - min(z) OVER v) END, 6) AS x FROM (SELECT query_id, id, CAST({NORM['zscore']} AS DOUBLE) AS z FROM (SELECT query_id, id, score::DOUBLE AS score FROM {SCORES_SQL}) WINDOW w AS (PARTITION BY query_id)) WINDOW v AS (PARTITION BY query_id)")
+def rerank_zscore01(spark, d):
+    z = _scores(spark).withColumn("z", search.normalized(F.col("score"), "zscore", ["query_id"], "id"))
+    return z.select("query_id", "id", F.round(search.normalized(F.col("z"), "minmax", ["query_id"], "id"), 6).alias("x"))
+
+
+@query(f"SELECT query_id, id, CAST(score AS DOUBLE) AS score FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM {SCORES_SQL}) WHERE top < 0.65 OR score >= 0.65")
+def filter_early_exit(spark, d):
+    top = F.max("score").over(Window.partitionBy("query_id"))
+    return _scores(spark).withColumn("top", top).where("top < 0.65 or score >= 0.65").drop("top")
+
+
+@query(f"SELECT query_id, id, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id // 2 ORDER BY score DESC, id) AS r FROM {SCORES_SQL}) WHERE r <= 1")
+def rerank_batch(spark, d):
+    w = Window.partitionBy("query_id", F.expr("id div 2")).orderBy(F.col("score").desc(), "id")
+    return _scores(spark).withColumn("r", F.row_number().over(w)).where("r <= 1").drop("r")
+
+
+@query(f"SELECT query_id, id, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS r FROM {SCORES_SQL}) WHERE r <= 2")
+def rerank_fallback(spark, d):
+    w = Window.partitionBy("query_id").orderBy("id")
+    return _scores(spark).withColumn("r", F.row_number().over(w)).where("r <= 2").drop("r")
+
+
+@query(f"SELECT query_id, id, CAST(score AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS place FROM {SCORES_SQL}")
+def sort_score_desc_limit(spark, d):
+    return _scores(spark).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")))
+
+
+BOTH = f"""SELECT query_id, id, coalesce(d, 0) AS dense, coalesce(s, 0) AS sparse, list_filter([CASE WHEN d IS NOT NULL THEN 'dense' END, CASE WHEN s IS NOT NULL THEN 'sparse' END], lambda x: x IS NOT NULL) AS sources
+    FROM (SELECT query_id, vec_id AS id, score AS d FROM ({nearest_sql(20, asks="q.vec_id IN (SELECT item_id FROM benchmark)")})) FULL JOIN (SELECT query_id, doc_id AS id, score AS s FROM ({bm25_sql(20)})) USING (query_id, id)"""
+
+
+def _both(spark, d):
+    return search.both_sides(search.nearest(both(spark, d), vectors(spark, d), 20), search.bm25(texts(spark, d), docs(spark, d), 20))
+
+
+@query(f"SELECT query_id, id, round(dense, 6) AS dense, round(sparse, 6) AS sparse, sources FROM ({BOTH})")
+def join_hybrid_outer(spark, d):
+    return _both(spark, d).withColumn("dense", F.round("dense", 6)).withColumn("sparse", F.round("sparse", 6))
+
+
+@query(nearest_sql(20, asks="q.vec_id IN (SELECT item_id FROM benchmark)"))
+def dense_retrieval(spark, d):
+    return search.nearest(both(spark, d), vectors(spark, d), 20)
+
+
+def fused_sql(score: str) -> str:
+    return f"""SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM (
+        SELECT query_id, id, round({score}, 9) AS score FROM ({BOTH}) WINDOW w AS (PARTITION BY query_id))) WHERE r <= 10"""
+
+
+MM = "CASE WHEN max({0}) OVER w = min({0}) OVER w THEN 1.0::DOUBLE ELSE ({0} - min({0}) OVER w) / (max({0}) OVER w - min({0}) OVER w) END"
+PLACE = "CASE WHEN {0} > 0 THEN {1} / (60.0::DOUBLE + row_number() OVER (PARTITION BY query_id ORDER BY {0} DESC, id)) ELSE 0 END"
+WEIGHTED = f"0.6::DOUBLE * {MM.format('dense')} + 0.4::DOUBLE * {MM.format('sparse')}"
+
+
+def _fused(how):
+    return lambda spark, d: search.fused(_both(spark, d), how=how).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+query(fused_sql(WEIGHTED), "fuse_weighted")(_fused("weighted"))
+query(fused_sql(WEIGHTED), "hybrid_search")(_fused("weighted"))
+query(fused_sql(f"{PLACE.format('dense', '0.6::DOUBLE')} + {PLACE.format('sparse', '0.4::DOUBLE')}"), "fuse_rrf_rank")(_fused("rrf"))
+query(fused_sql("1 / (dense + 60.0::DOUBLE) + 1 / (sparse + 60.0::DOUBLE)"), "fuse_rrf_ref")(_fused("rrf_scores"))
+
+
+@query()
+def embed_tfidf(spark, d):
+    return search.tfidf(docs(spark, d))
+
+
+TOP10 = nearest_sql(10)
+
+
+@query(f"SELECT query_id, vec_id, round(score, 6) AS score, doc_id, lang, source FROM ({TOP10}) r JOIN documents ON doc_id = vec_id")
+def join_result_metadata(spark, d):
+    hits = search.nearest(asked(spark, d), vectors(spark, d), 10)
+    meta = docs(spark, d).select("doc_id", "lang", "source")
+    return hits.join(meta, F.col("vec_id") == F.col("doc_id")).select("query_id", "vec_id", F.round("score", 6).alias("score"), "doc_id", "lang", "source")
+
+
+@query(f"SELECT query_id, vec_id, round(score, 6) AS score FROM ({TOP10}) r JOIN documents ON doc_id = vec_id WHERE lang = 'en'")
+def filter_metadata_eq(spark, d):
+    hits = search.nearest(asked(spark, d), vectors(spark, d), 10)
+    meta = docs(spark, d).where("lang = 'en'").select("doc_id")
+    return hits.join(meta, F.col("vec_id") == F.col("doc_id")).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT query_id, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM (
+    SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS score FROM embeddings q JOIN embeddings c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+    JOIN documents ON doc_id = c.vec_id AND lang = 'en')) WHERE n <= 10""")
+def filter_metadata_pre(spark, d):
+    meta = docs(spark, d).where("lang = 'en'").select(F.col("doc_id").alias("vec_id"))
+    hits = search.nearest(asked(spark, d), vectors(spark, d).join(meta, "vec_id", "left_semi"), 10)
+    return hits.select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT doc_id, label FROM documents JOIN embeddings ON vec_id = doc_id")
+def join_chunk_embedding(spark, d):
+    return docs(spark, d).join(vectors(spark, d), F.col("vec_id") == F.col("doc_id")).select("doc_id", "label")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)")
+def join_cache_hit(spark, d):
+    return docs(spark, d).join(vectors(spark, d), F.col("vec_id") == F.col("doc_id"), "left_semi").select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def join_cache_miss(spark, d):
+    return docs(spark, d).join(vectors(spark, d), F.col("vec_id") == F.col("doc_id"), "left_anti").select("doc_id")
+
+
+@query(f"""WITH r AS (SELECT query_id, vec_id, embedding FROM ({TOP10}) JOIN embeddings USING (vec_id))
+    SELECT query_id, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM r a JOIN r b USING (query_id) WHERE a.vec_id < b.vec_id""")
+def join_self_similarity(spark, d):
+    # The results of one query against each other: k rows each, so a bounded square.
+    r = search.nearest(asked(spark, d), vectors(spark, d), 10).select("query_id", "vec_id").join(vectors(spark, d), "vec_id")
+    a, b = (r.select("query_id", F.col("vec_id").alias(x), F.col("embedding").alias(f"v{x}")) for x in "ab")
+    return a.join(b, "query_id").where("a < b").select("query_id", "a", "b", F.round(v.cosine(F.col("va"), F.col("vb")), 6).alias("score"))
+
+
+QA = f"""WITH r AS (SELECT query_id, vec_id, score, rank FROM ({nearest_sql(5)}) WHERE score >= 0.3)
+    SELECT r.query_id, r.rank, d.doc_id, round(r.score, 6) AS score, substr(sha256(d.text), 1, 16) AS content FROM r JOIN documents d ON d.doc_id = r.vec_id"""
+
+
+@query(QA)
+def qa_run(spark, d):
+    """The passages that answer each question: nearest vectors, then the threshold, then their texts."""
+    hits = search.nearest(asked(spark, d), vectors(spark, d), 5).where("score >= 0.3")
+    return hits.join(docs(spark, d), F.col("vec_id") == F.col("doc_id")).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"), F.substring(F.sha2("text", 256), 1, 16).alias("content"))
+
+
+@query(f"SELECT query_id, list(doc_id ORDER BY rank)[1:3] AS source_clauses FROM ({QA}) GROUP BY query_id")
+def generate_answer(spark, d):
+    sorted_ = F.sort_array(F.collect_list(F.struct("rank", "doc_id")))
+    return qa_run(spark, d).groupBy("query_id").agg(F.slice(F.transform(sorted_, lambda x: x["doc_id"]), 1, 3).alias("source_clauses"))
+
+
+OVERLAP = r"(len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), '[\p{L}\p{N}\p{M}_]+')), list_distinct(regexp_extract_all(lower(d.text), '[\p{L}\p{N}\p{M}_]+')))) / len(list_distinct(regexp_extract_all(lower(b.text), '[\p{L}\p{N}\p{M}_]+'))))::DOUBLE"
+PAIRS = f"FROM ({bm25_sql(20)}) r JOIN benchmark b ON b.item_id = r.query_id JOIN documents d USING (doc_id)"
+
+
+def _overlaps(spark, d):
+    hits = search.bm25(texts(spark, d), docs(spark, d), 20).select("query_id", "doc_id", "rank")
+    q = texts(spark, d).withColumnRenamed("text", "question")
+    return hits.join(q, "query_id").join(docs(spark, d).select("doc_id", "text"), "doc_id").withColumn("overlap", t.word_overlap(F.col("question"), F.col("text")))
+
+
+@query(f"SELECT query_id, doc_id, round({OVERLAP}, 6) AS overlap {PAIRS} WHERE {OVERLAP} >= 0.2")
+def filter_keyword(spark, d):
+    return _overlaps(spark, d).where("overlap >= 0.2").select("query_id", "doc_id", F.round("overlap", 6).alias("overlap"))
+
+
+@query(f"SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {OVERLAP} DESC, rank) AS INTEGER) AS place {PAIRS}")
+def rank_by_keywords(spark, d):
+    w = Window.partitionBy("query_id").orderBy(F.col("overlap").desc(), "rank")
+    return _overlaps(spark, d).select("query_id", "doc_id", F.row_number().over(w).alias("place"))
+
+
+@query(f"SELECT query_id, doc_id, round(x, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, rank) AS n FROM (SELECT query_id, doc_id, rank, {OVERLAP} AS x {PAIRS})) WHERE n <= 5")
+def rerank_cross_encoder(spark, d):
+    """The deterministic stand-in for a cross-encoder: word overlap."""
+    w = Window.partitionBy("query_id").orderBy(F.col("overlap").desc(), "rank")
+    return _overlaps(spark, d).withColumn("n", F.row_number().over(w)).where("n <= 5").select("query_id", "doc_id", F.round("overlap", 6).alias("score"))
+
+
+@query(f"SELECT query_id, vec_id, round(score, 6) AS score FROM ({nearest_sql(1000000)}) WHERE score >= 0.3")
+def filter_semantic(spark, d):
+    n = vectors(spark, d).count()
+    return search.nearest(asked(spark, d), vectors(spark, d), max(1, n)).where("score >= 0.3").select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT query_id, vec_id, round(score, 6) AS score, rank FROM ({nearest_sql(20)})")
+def rank_by_embedding(spark, d):
+    return rounded(search.nearest(asked(spark, d), vectors(spark, d), 20))
