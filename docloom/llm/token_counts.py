@@ -8,8 +8,8 @@ The second walks the bytes of a match; its states (the longest suffix that
 begins some token, with the last token and count at each place inside it) are
 compiled as they are met, and every transition is annotated with the number of
 tokens it adds.  A text's count is the sum of the annotations on its path.
-All chunks of a batch advance side by side, so a long text costs no more than
-many short ones.
+All chunks of a batch, and then all of its different matches, advance side by
+side, so a long text costs no more than many short ones.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Vocabulary, read_json, shipped
-from .common import bytes_of, slices, text_or_empty
+from .common import bytes_of, mix64, slices, text_or_empty
 
 #: Characters of a chunk.
 CHUNK = 512
@@ -150,6 +150,10 @@ def match_starts(symbol: np.ndarray, first: np.ndarray, chunk: int = CHUNK) -> n
     return starts.T.ravel()[:n]
 
 
+BYTES = [bytes((k,)) for k in range(256)]
+DEAD = (-1, 0)
+
+
 class CountTransducer:
     """The byte transducer of one vocabulary, compiled as it is used.
 
@@ -161,16 +165,16 @@ class CountTransducer:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.begins = {token[:k]: token[:k] for token in vocabulary.ids for k in range(1, len(token) + 1)}
+        self.begins = {token[:k] for token in vocabulary.ids for k in range(1, len(token) + 1)}
         self.clear()
 
     def clear(self) -> None:
-        self.states: list[tuple[bytes, tuple]] = []
-        self.known: dict[tuple, int] = {}
-        self.places: dict[tuple, tuple] = {}
+        start = (b"", ((None, 0),))
+        self.states: list[tuple[bytes, tuple]] = [start]
+        self.known: dict[tuple, int] = {start: 0}
+        self.live: dict[bytes, tuple] = {}
         self.used = 0
-        self._table(1 << 16)
-        self._state((b"", ((None, 0),)))
+        self._table(1 << 18)
 
     def _table(self, size: int) -> None:
         self.keys, self.to, self.adds = np.full(size, -1, np.int64), np.zeros(size, np.int32), np.zeros(size, np.int8)
@@ -179,88 +183,116 @@ class CountTransducer:
         """Where each key is or would be."""
         mask = np.int64(len(self.keys) - 1)
         at = ((keys * np.int64(0x9E3779B97F4A7C15 - (1 << 64))) >> np.int64(20)) & mask
-        lost = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] >= 0))
+        held = self.keys[at]
+        lost = np.flatnonzero(held != keys)
+        lost = lost[held[lost] >= 0]
         while len(lost):
             at[lost] = (at[lost] + 1) & mask
             held = self.keys[at[lost]]
             lost = lost[(held != keys[lost]) & (held >= 0)]
         return at
 
-    def _put(self, key: int, to: int, adds: int) -> None:
+    def _put(self, keys: np.ndarray, to: np.ndarray, adds: np.ndarray) -> None:
+        """New transitions; none of the keys is there yet."""
+        self.used += len(keys)
         if self.used * 4 >= len(self.keys):
+            size = len(self.keys)
+            while self.used * 4 >= size:
+                size *= 2
             held = self.keys >= 0
-            old = self.keys[held], self.to[held], self.adds[held]
-            self._table(len(self.keys) * 2)
-            for one in zip(*(x.tolist() for x in old)):
-                self._set(*one)
-        self._set(key, to, adds)
-        self.used += 1
-
-    def _set(self, key: int, to: int, adds: int) -> None:
-        mask = len(self.keys) - 1
-        at = ((key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 20) & mask
-        while self.keys[at] >= 0:
-            at = (at + 1) & mask
-        self.keys[at], self.to[at], self.adds[at] = key, to, adds
-
-    def _state(self, key: tuple) -> int:
-        k = self.known.get(key)
-        if k is None:
-            k = self.known[key] = len(self.states)
-            self.states.append(key)
-        return k
-
-    def _compile(self, state: int, byte: int) -> None:
-        """A state is the longest suffix of the match so far that begins a token, and for each place
-        in it the last token of the encoding up to there and its count, relative to the count here."""
-        suffix, places = self.states[state]
-        suffix += bytes((byte,))
-        while suffix not in self.begins:
-            suffix = suffix[1:]
-        suffix = self.begins[suffix]
-        ids, fits = self.v.ids, self.v.fits
-        for size in range(len(suffix), 0, -1):
-            token = ids.get(suffix[-size:])
-            if token is not None and ((before := places[-size])[0] is None or (before[0] >= 0 and fits(before[0], token))):
-                break
-        count = before[1] + 1
-        kept = (*places[len(places) - len(suffix) :], (token, count))
-        # Only places count from which a token may still run on.
-        n, begins = len(suffix), self.begins
-        live = (k == n or suffix[k:] in begins for k in range(n + 1))
-        kept = ((t, c - count) if on else (-1, 0) for on, (t, c) in zip(live, kept))
-        to = self._state((suffix, tuple(self.places.setdefault(x, x) for x in kept)))
-        self._put(state << 8 | byte, to, count)
-
-    def added(self, data: np.ndarray, starts: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
-        """The annotation of the transition that each byte takes. ``starts``: where matches begin."""
-        out = np.zeros(len(data), np.int8)
-        at = np.flatnonzero(starts)
-        # A chunk begins at the first match that begins in it, and ends where the next one begins.
-        at = at[np.flatnonzero(np.diff(at // chunk, prepend=-1))]
-        ends = np.append(at[1:], len(data))
-        order = np.argsort(at - ends, kind="stable")  # the longest first
-        at, ends = at[order], ends[order]
-        state = np.zeros(len(at), np.int64)
+            keys, to, adds = (np.concatenate(x) for x in ((self.keys[held], keys), (self.to[held], to), (self.adds[held], adds)))
+            self._table(size)
+        while len(keys):
+            at = self._slots(keys)
+            _, first = np.unique(at, return_index=True)  # of those that want one place, one gets it now
+            self.keys[at[first]], self.to[at[first]], self.adds[at[first]] = keys[first], to[first], adds[first]
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, to, adds = keys[rest], to[rest], adds[rest]
+
+    def _compile(self, missing: list[int]) -> None:
+        """Transitions for ``missing``, each a state times 256 and a byte.
+
+        A state is the longest suffix of the match so far that begins a token, and for each place in it from which a
+        token may still run on the last token of the encoding up to there and its count, relative to the count here.
+        """
+        ids, begins, fits, seams = self.v.ids, self.begins, self.v.fits, self.v._seams
+        states, known, live_of = self.states, self.known, self.live
+        to, adds = [], []
+        for key in missing:
+            suffix, places = states[key >> 8]
+            suffix += BYTES[key & 255]
+            while suffix not in begins:
+                suffix = suffix[1:]
+            for k in range(len(suffix)):
+                token = ids.get(suffix[k:])
+                if token is not None:
+                    before, count = places[k - len(suffix)]
+                    if before is None:
+                        break
+                    if before >= 0:
+                        good = seams.get((before, token))
+                        if fits(before, token) if good is None else good:
+                            break
+            count += 1
+            n = len(suffix)
+            live = live_of.get(suffix)
+            if live is None:
+                live = live_of[suffix] = tuple(suffix[k:] in begins for k in range(n))
+            kept = tuple([(p[0], p[1] - count) if on else DEAD for on, p in zip(live, places[len(places) - n :])])
+            state = (suffix, (*kept, (token, 0)))
+            number = known.get(state)
+            if number is None:
+                number = known[state] = len(states)
+                states.append(state)
+            to.append(number)
+            adds.append(count)
+        self._put(np.array(missing, np.int64), np.array(to, np.int32), np.array(adds, np.int8))
+
+    def counts(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Tokens of each match, the bytes begin .. end - 1 of ``data``. All matches advance together."""
+        out = np.zeros(len(begin), np.int64)
+        order = np.argsort(begin - end, kind="stable")  # the longest first
+        at, left = begin[order], (end - begin)[order]
+        live = np.searchsorted(-left, -np.arange(1, int(left[0]) + 1 if len(left) else 1), side="right")  # matches that have a byte to go
+        total, state = np.zeros(len(at), np.int32), np.zeros(len(at), np.int64)
         if len(self.states) > self.MOST:
             self.clear()
-        while len(at):
-            byte = data[at]
-            state[starts[at]] = 0
-            taken = state * 256 + byte
+        for step, n in enumerate(live.tolist()):
+            if not n:
+                break
+            taken = state[:n] << 8 | data[at[:n] + step]
             slot = self._slots(taken)
-            if (self.keys[slot] < 0).any():
-                for k in np.unique(taken[self.keys[slot] < 0]).tolist():
-                    self._compile(k >> 8, k & 255)
+            lost = self.keys[slot] < 0
+            if lost.any():
+                self._compile(np.unique(taken[lost]).tolist())
                 slot = self._slots(taken)
-            to = self.to[slot]
-            out[at] = self.adds[slot]
-            at = at + 1
-            live = int(np.searchsorted(-(ends - at), 0, side="left")) if len(at) and ends[-1] <= at[-1] else len(at)
-            state, at, ends = to[:live].astype(np.int64), at[:live], ends[:live]
+            total[:n] += self.adds[slot]
+            state[:n] = self.to[slot]
+        out[order] = total
         return out
 
 
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+
+
+def different(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which matches stand for all, and for each match its stand-in: two that share both of two hashes of 64 bits are one."""
+    size = end - begin
+    place = np.arange(len(data)) - np.repeat(begin, size)
+    most = int(size.max()) + 1
+    mixed = []
+    for odd in _ODD:
+        powers = np.cumprod(np.concatenate([odd[None], np.full(most, odd)]).astype(np.uint64))
+        mixed.append(mix64(np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * powers[place], begin) + size.astype(np.uint64)))
+    _, first, back = np.unique(mixed[0], return_index=True, return_inverse=True)
+    odd_ones = np.flatnonzero(mixed[1] != mixed[1][first][back])
+    if len(odd_ones):  # they share one hash by chance: each for itself
+        back[odd_ones] = len(first) + np.arange(len(odd_ones))
+        first = np.concatenate([first, odd_ones])
+    return first, back
+
+
 def count_tokens(transducer: CountTransducer, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Tokens of each text. ``data``: the UTF-8 bytes of all texts; ``offsets``: where each begins, and the end."""
     rows = len(offsets) - 1
@@ -294,9 +326,13 @@ def count_tokens(transducer: CountTransducer, data: np.ndarray, offsets: np.ndar
     first_byte[begin] = True
     first = first_byte[place]
     last = np.append(first[1:], True)
-    starts = np.zeros(len(data), bool)
-    starts[place[match_starts(symbols(chars, last), first)]] = True
-    counts += np.bincount(owner, np.add.reduceat(transducer.added(data, starts).astype(np.int64), begin), rows).astype(np.int64)
+    match = place[np.flatnonzero(match_starts(symbols(chars, last), first))]
+    ends = np.append(match[1:], len(data))
+    which, back = different(data, match, ends)
+    tokens = transducer.counts(data, match[which], ends[which])[back]
+    sums = np.concatenate([[0], np.cumsum(tokens)])
+    cut = np.searchsorted(match, np.append(begin, len(data)))
+    counts += np.bincount(owner, np.diff(sums[cut]), rows).astype(np.int64)
     return counts
 
 
@@ -320,7 +356,7 @@ def token_counts(df: DataFrame, path: str, text: str = "text", count: str = "n_t
         machine = _compiled.get("it")
         if machine is None or machine.v is not held.value:
             machine = _compiled["it"] = CountTransducer(held.value)
-        for batch in slices(batches, at):
+        for batch in slices(batches, at, 2 << 20):
             n = count_tokens(machine, *bytes_of(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(n, pa.int64())], [*keep, count])
 
