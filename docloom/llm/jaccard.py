@@ -240,6 +240,17 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data.tobytes(), "<i8")), pa.array(sid), pa.array(n), pa.array(m)], ["token", "sid", "n", "m"])
 
 
+def _openings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each member of a set's first prefix, with those that stand before it."""
+    for batch in batches:
+        for sid, n, m, prefix in zip(*(c.to_pylist() for c in batch.columns)):
+            tokens = np.frombuffer(prefix, "<i8")
+            size = len(tokens)
+            ends = np.cumsum(np.arange(size))
+            before = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(np.concatenate([tokens[:k] for k in range(size)] or [tokens])))
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.full(size, sid)), pa.array(np.full(size, n)), pa.array(np.full(size, m)), before], ["token", "sid", "n", "m", "before"])
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     both = np.sort(np.concatenate([a, b]), kind="stable")
     return int((both[1:] == both[:-1]).sum())
@@ -303,10 +314,13 @@ def _roots(sets: DataFrame) -> DataFrame:
             best = met.groupBy("a").agg(F.max(F.struct("count", -F.col("b"), "b")).alias("best"))
             pairs = best.select("a", F.col("best.b").alias("b"))
         else:
-            active = now.join(open_.select("token"), "token", "left_semi")
-            x, y = (active.select("token", F.col("sid").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in own[1:])) for k in "ab")
+            # A pair is taken at the first member that its prefixes share, so it comes up once.
+            busy = now.join(open_.select("token"), "token", "left_semi").groupBy("sid", "root").agg(F.count("*").alias("open")).select("sid", "root")
+            opened = sets.join(busy, "sid", "left_semi").select("sid", "n", "m", "first").mapInArrow(_openings, "token long, sid long, n long, m long, before array<long>")
+            active = opened.join(open_.select("token"), "token", "left_semi").join(busy, "sid")
+            x, y = (active.select("token", F.col("sid").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in (*own[1:], "before"))) for k in "ab")
             may = (F.col("root_a") < F.col("root_b")) & _may_link(*(F.col(c) for c in ("n_a", "m_a", "n_b", "m_b")))
-            pairs = x.join(y, "token").where(may).select("a", "b").distinct()
+            pairs = x.join(y, "token").where(may & ~F.arrays_overlap("before_a", "before_b")).select("a", "b")
         found = written(_links(pairs, sets), "near-links")
         links = found if links is None else links.unionByName(found)
         roots = written(components(links), "near-roots")
