@@ -31,7 +31,7 @@ from .shingles import word_hashes
 
 #: Labelled documents that the model is fitted on at most (those with the smallest hash of doc_id), strings of the others' kind that
 #: count as negatives at first and that each round adds, strings that are looked through for those, landmarks of each kind, and rounds.
-SAMPLE, NEGATIVES, HARDER, LOOKED_THROUGH, LANDMARKS, ROUNDS = 8000, 10_000, 4000, 200_000, 128, 4
+SAMPLE, NEGATIVES, HARDER, LOOKED_THROUGH, LANDMARKS, ROUNDS = 6000, 10_000, 4000, 200_000, 128, 4
 #: Decay of the kernel for each place, letters of a window, its step, and letters of a word that counts as very short.
 DECAY, WIDTH, STEP, SHORT = 0.6, 16, 8, 2
 #: Letters of the kernel: a-z, then what only takes room, and the beginning of a word; 0 pads.
@@ -269,18 +269,39 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 30) -> tup
     return w[:-1], float(w[-1])
 
 
+def _parts(texts: list[str], most: int = 1 << 20) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """The texts in parts of about ``most`` bytes: the number of the first, their bytes, and where each begins."""
+    out, held, first, size = [], [], 0, 0
+    for k, text in enumerate(texts):
+        held.append(text.encode())
+        size += len(held[-1])
+        if size >= most or k == len(texts) - 1:
+            out.append((first, np.frombuffer(b"".join(held), np.uint8), np.cumsum([0] + [len(x) for x in held])))
+            held, first, size = [], k + 1, 0
+    return out
+
+
 def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
     """A model of labelled texts. Without texts of both labels every score is the share of toxic ones."""
     toxic = np.asarray(toxic, bool)
     share = (toxic.sum() + 1) / (len(toxic) + 2)
     if not toxic.any() or toxic.all():
         return Model(np.zeros(SIZE**3, np.float32), 0.0, np.zeros(TOP), float(np.log(share / (1 - share))))
-    raw = [t.encode() for t in texts]
-    offsets = np.cumsum([0] + [len(r) for r in raw])
-    table, own = strings(np.frombuffer(b"".join(raw), np.uint8), offsets)
-    table, back = _distinct(table)
-    keys = np.unique(own * len(table) + back)
-    pairs = np.stack([keys // len(table), keys % len(table)], 1)  # text, string
+    parts = _parts(texts)
+    tables, pairs, base = [], [], 0
+    for first, data, offsets in parts:
+        table, own = strings(data, offsets)
+        if len(table):
+            table, back = _distinct(table)
+            keys = np.unique(own * len(table) + back)
+            pairs.append(np.stack([first + keys // len(table), base + keys % len(table)], 1))
+            tables.append(table)
+            base += len(table)
+    if not tables:
+        return Model(np.zeros(SIZE**3, np.float32), 0.0, np.zeros(TOP), float(np.log(share / (1 - share))))
+    table, back = _distinct(np.concatenate(tables))
+    pairs = np.concatenate(pairs)  # text, string
+    pairs[:, 1] = back[pairs[:, 1]]
     positive = toxic[pairs[:, 0]]
     ones = np.bincount(pairs[positive, 1], minlength=len(table))
     zeros = np.bincount(pairs[~positive, 1], minlength=len(table))
@@ -326,7 +347,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
             x_few = np.concatenate([x_few, _against(table[hard], phi) @ root])
     model = Model((phi.T @ (root @ w)).astype(np.float32), bias, np.zeros(TOP), 0.0)
     model.weights[0] = 0
-    model.slopes, model.shift = _curve(model.evidence(np.frombuffer(b"".join(raw), np.uint8), offsets), toxic)
+    model.slopes, model.shift = _curve(np.concatenate([model.evidence(data, offsets) for _, data, offsets in parts]), toxic)
     return model
 
 
