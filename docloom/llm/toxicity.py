@@ -194,8 +194,8 @@ class Model:
         size = (table > 0).sum(1)
         order = np.argsort(size, kind="stable")
         order = order[size[order] >= 3]
-        for at in range(0, len(order), 4096):
-            part = order[at : at + 4096]
+        for at in range(0, len(order), 2048):
+            part = order[at : at + 2048]
             width = int(size[part].max())
             s = table[part, :width].astype(np.int32)
             s[s == FILLER] = 0
@@ -251,18 +251,24 @@ def _against(table: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     """Normalised kernels of many strings with the landmarks (rows of features)."""
     columns = np.flatnonzero(landmarks.any(0))
     dense = np.ascontiguousarray(landmarks[:, columns].T)
-    return np.concatenate([features(table[a : a + 256], columns) @ dense for a in range(0, len(table), 256)] or [np.zeros((0, len(landmarks)), np.float32)])
+    return np.concatenate([features(table[a : a + 128], columns) @ dense for a in range(0, len(table), 128)] or [np.zeros((0, len(landmarks)), np.float32)])
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 30) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss, by Newton's method; a small ridge on everything but the bias."""
-    z = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
-    w, ridge = np.zeros(z.shape[1]), RIDGE * np.eye(z.shape[1])
+    width = x.shape[1] + 1
+    w, ridge = np.zeros(width), RIDGE * np.eye(width)
     ridge[-1, -1] = 1e-6
     for _ in range(steps):
-        inside = y * (z @ w) < 1
-        zi, ci = z[inside], cost[inside]
-        new = np.linalg.solve(ridge + (zi * ci[:, None]).T @ zi, (zi * ci[:, None]).T @ y[inside])
+        square, pull = ridge.copy(), np.zeros(width)
+        for a in range(0, len(x), 2048):  # in parts, for the driver's memory
+            part = slice(a, a + 2048)
+            z = np.hstack([x[part], np.ones((len(x[part]), 1))]).astype(np.float64)
+            inside = y[part] * (z @ w) < 1
+            z, c = z[inside], cost[part][inside]
+            square += (z * c[:, None]).T @ z
+            pull += z.T @ (c * y[part][inside])
+        new = np.linalg.solve(square, pull)
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
@@ -300,6 +306,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
     if not tables:
         return Model(np.zeros(SIZE**3, np.float32), 0.0, np.zeros(TOP), float(np.log(share / (1 - share))))
     table, back = _distinct(np.concatenate(tables))
+    del tables
     pairs = np.concatenate(pairs)  # text, string
     pairs[:, 1] = back[pairs[:, 1]]
     positive = toxic[pairs[:, 0]]
@@ -314,7 +321,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
     few = rng.choice(common, min(NEGATIVES, len(common)), replace=False) if len(common) else common
     # Landmarks: strings that labels speak for most, and as many of the others.
     marks = np.concatenate([np.argsort(-telling * (ones > 2 * zeros), kind="stable")[:LANDMARKS], few[:LANDMARKS]])
-    phi = features(table[marks])
+    phi = np.concatenate([features(table[marks[a : a + 32]]) for a in range(0, len(marks), 32)])
     values, vectors = np.linalg.eigh((phi @ phi.T).astype(np.float64))
     keep = values > 1e-4
     root = vectors[:, keep] / np.sqrt(values[keep])  # Nyström: features of x are k(x, landmarks) @ root
@@ -323,7 +330,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
     clear = (telling > 1) & (ones > 2 * zeros)
     held = np.unique(bags[clear[bags[:, 1]], 1])
     few = np.union1d(few, np.flatnonzero((telling > 1) & ~clear & (zeros > 0)))
-    x_held, x_few = _against(table[held], phi) @ root, _against(table[few], phi) @ root
+    x_held, x_few = _against(table[held], phi) @ root.astype(np.float32), _against(table[few], phi) @ root.astype(np.float32)
     spot = np.full(len(table), -1)
     spot[held] = np.arange(len(held))
     bags = bags[spot[bags[:, 1]] >= 0]
@@ -344,7 +351,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
             seen = linear.margins(table[common])
             hard = np.setdiff1d(common[np.argsort(-seen, kind="stable")[:HARDER]], few)
             few = np.concatenate([few, hard])
-            x_few = np.concatenate([x_few, _against(table[hard], phi) @ root])
+            x_few = np.concatenate([x_few, _against(table[hard], phi) @ root.astype(np.float32)])
     model = Model((phi.T @ (root @ w)).astype(np.float32), bias, np.zeros(TOP), 0.0)
     model.weights[0] = 0
     model.slopes, model.shift = _curve(np.concatenate([model.evidence(data, offsets) for _, data, offsets in parts]), toxic)
