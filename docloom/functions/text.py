@@ -46,9 +46,9 @@ def token_count(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Sentences with their marks, and what follows the last mark; trimmed, none empty."""
-    found = F.regexp_extract_all(c, F.lit(r"[^.!?]+[.!?]+"), F.lit(0))
-    rest = F.regexp_replace(c, r"(?s)^.*[.!?]", "")
-    return F.filter(F.transform(F.concat(found, F.array(rest)), strip), lambda s: s != "")
+    # The end of the text ends a match as well: without that, a long tail would be searched again from each of its places.
+    found = F.regexp_extract_all(c, F.lit(r"[^.!?]+(?:[.!?]+|\z)"), F.lit(0))
+    return F.filter(F.transform(found, strip), lambda s: s != "")
 
 
 def ocr_clean(c: Column) -> Column:
