@@ -192,7 +192,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows in order of sid, df and token: each set's shared members and its prefixes in three orders."""
-    names = ["sid", "n", "m", "tokens", "first", "second", "third"]
+    names = ["sid", "n", "m", "weight", "tokens", "first", "second", "third"]
     held = None
 
     def sets(table, whole):
@@ -210,12 +210,12 @@ def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t, f = token[a:b].view(np.uint64), df[a:b]
             other, third = mix64(t ^ np.uint64(0x5851F42D4C957F2D)), mix64(t ^ np.uint64(0x14057B7EF767814F))
             pick = lambda order: np.sort(t[order[:prefix]]).tobytes()  # noqa: B023, E731
-            rows.append((int(sid[a]), size, b - a, np.sort(t).tobytes(), t[:prefix].tobytes(), pick(np.lexsort((other, f))), pick(np.argsort(third))))
+            rows.append((int(sid[a]), size, b - a, (int(f.sum()) + size - (b - a)) / size, np.sort(t).tobytes(), t[:prefix].tobytes(), pick(np.lexsort((other, f))), pick(np.argsort(third))))
         at = int(ends[-1]) if len(ends) else 0
         return rows, [x[at:] for x in table]
 
     def batch_of(rows):
-        kinds = [*[pa.int64()] * 3, *[pa.binary()] * 4]
+        kinds = [*[pa.int64()] * 3, pa.float64(), *[pa.binary()] * 4]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
 
     for batch in batches:
@@ -234,10 +234,10 @@ def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = bytes_of(batch.column(3))
+        data, offsets = bytes_of(batch.column(4))
         size = np.diff(offsets) // 8
-        sid, n, m = (np.repeat(batch.column(k).to_numpy(), size) for k in (0, 1, 2))
-        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data.tobytes(), "<i8")), pa.array(sid), pa.array(n), pa.array(m)], ["token", "sid", "n", "m"])
+        sid, n, m, weight = (np.repeat(batch.column(k).to_numpy(), size) for k in range(4))
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data.tobytes(), "<i8")), pa.array(sid), pa.array(n), pa.array(m), pa.array(weight)], ["token", "sid", "n", "m", "weight"])
 
 
 def _openings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,16 +297,17 @@ def _may_link(n_a: F.Column, m_a: F.Column, n_b: F.Column, m_b: F.Column) -> F.C
 
 def _roots(sets: DataFrame) -> DataFrame:
     """node and root of all sets that are linked with another. ``sets``: a written table of _ordered."""
-    postings = written(sets.select("sid", "n", "m", "first").mapInArrow(_postings, "token long, sid long, n long, m long"), "near-postings")
-    # Pivots: the set of a bucket that shares the largest part of its members, and then the one that shares most.
+    postings = written(sets.select("sid", "n", "m", "weight", "first").mapInArrow(_postings, "token long, sid long, n long, m long, weight double"), "near-postings")
+    # Pivots: the set of a bucket whose members are the most frequent, as those of an original among its near copies are, and
+    # then the one that shares the largest part of its members.
     own = ("sid", "n", "m", "root")
-    pivots = [F.max(F.struct((F.col("m") / F.col("n")).alias("share"), *own)), F.max(F.struct(F.col("m").alias("share"), *own)), None]
+    pivots = [F.max(F.struct("weight", *own)), F.max(F.struct((F.col("m") / F.col("n")).alias("share"), *own)), None]
     links, roots = None, None
     for pivot in pivots:
         if roots is None:
             now = postings.withColumn("root", F.col("sid"))
         else:
-            now = postings.join(roots, postings["sid"] == roots["node"], "left").select("token", "sid", "n", "m", F.coalesce("root", "sid").alias("root"))
+            now = postings.join(roots, postings["sid"] == roots["node"], "left").select("token", "sid", "n", "m", "weight", F.coalesce("root", "sid").alias("root"))
         open_ = now.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most"), *([] if pivot is None else [pivot.alias("p")])).where("least <> most")
         if pivot is not None:
             may = (F.col("root") != F.col("p.root")) & _may_link(F.col("n"), F.col("m"), F.col("p.n"), F.col("p.m"))
@@ -345,7 +346,7 @@ def near_groups(docs: DataFrame, mark: F.Column | None = None) -> DataFrame:
     texts = rows.join(left, rows["doc_id"].eqNullSafe(left["rep"])).select("sid", "sig", "text")
     members = texts.mapInArrow(_members, "token long, sid long, n long")
     shared = members.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(_frequencies, "sid long, n long, df int, token long")
-    ordered = shared.repartition("sid").sortWithinPartitions("sid", "df", "token").mapInArrow(_ordered, "sid long, n long, m long, tokens binary, first binary, second binary, third binary")
+    ordered = shared.repartition("sid").sortWithinPartitions("sid", "df", "token").mapInArrow(_ordered, "sid long, n long, m long, weight double, tokens binary, first binary, second binary, third binary")
     ordered = written(ordered, "near-ordered")
     roots = _roots(ordered)
     linked = sets.join(roots, sets["sid"] == roots["node"])
