@@ -14,6 +14,7 @@ side, so a long text costs no more than many short ones.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -273,23 +274,27 @@ class CountTransducer:
         return out
 
 
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+#: Masks of the first bytes of eight.
+KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def different(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which matches stand for all, and for each match its stand-in: two that share both of two hashes of 64 bits are one."""
+    """Which matches stand for all, and for each match its stand-in. Matches of up to 16 bytes are compared as they are,
+    longer ones by a digest of 128 bits."""
     size = end - begin
-    place = np.arange(len(data)) - np.repeat(begin, size)
-    most = int(size.max()) + 1
-    mixed = []
-    for odd in _ODD:
-        powers = np.cumprod(np.concatenate([odd[None], np.full(most, odd)]).astype(np.uint64))
-        mixed.append(mix64(np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * powers[place], begin) + size.astype(np.uint64)))
-    _, first, back = np.unique(mixed[0], return_index=True, return_inverse=True)
-    odd_ones = np.flatnonzero(mixed[1] != mixed[1][first][back])
-    if len(odd_ones):  # they share one hash by chance: each for itself
-        back[odd_ones] = len(first) + np.arange(len(odd_ones))
-        first = np.concatenate([first, odd_ones])
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    eight = np.ndarray(len(data) + 9, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    low = eight[begin] & KEEP[np.minimum(size, 8)]
+    high = eight[begin + 8 * (size > 8)] & KEEP[np.clip(size - 8, 0, 8)]
+    for k in np.flatnonzero(size > 16).tolist():
+        low[k], high[k] = np.frombuffer(hashlib.blake2b(data[begin[k] : end[k]].tobytes(), digest_size=16).digest(), "<u8")
+    mixed = mix64(low ^ mix64(high + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    _, first, back = np.unique(mixed, return_index=True, return_inverse=True)
+    stand = first[back]
+    odd = np.flatnonzero((low != low[stand]) | (high != high[stand]) | (size != size[stand]))
+    if len(odd):  # they share a mixed value by chance: each for itself
+        back[odd] = len(first) + np.arange(len(odd))
+        first = np.concatenate([first, odd])
     return first, back
 
 
