@@ -248,10 +248,18 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(F.size(F.array_union(x, y)) > 0, F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(0.0)
 
 
+def distinct_words(c: Column) -> Column:
+    return F.array_distinct(words(F.lower(c)))
+
+
 def summary(query: Column, c: Column, most: int = 150) -> Column:
-    """The sentences that share most words with the query, until ``most`` words are reached, in the order of their rank."""
+    """The sentences that share most words with the query, until ``most`` words are reached, in the order of their rank.
+
+    ``query``: its ``distinct_words``, made before the join that brings query and text together, so once for a query.
+    """
+    share = lambda s: F.when(F.size(query) > 0, F.size(F.array_intersect(query, words(F.lower(s)))) / F.size(query)).otherwise(0.0)
     split = F.filter(F.transform(F.split(c, r"[.!?]+"), strip), lambda s: s != "")
-    ranked = F.array_sort(F.transform(split, lambda s, k: F.struct((-word_overlap(query, s)).alias("o"), k.alias("k"), s.alias("s"), F.size(F.split(s, SPACE)).alias("n"))))
+    ranked = F.array_sort(F.transform(split, lambda s, k: F.struct((-share(s)).alias("o"), k.alias("k"), s.alias("s"), F.size(F.split(s, SPACE)).alias("n"))))
     kind = "struct<n:int,open:boolean,out:array<string>>"
     start = F.expr(f"cast(named_struct('n', 0, 'open', true, 'out', array()) as {kind})")
 

@@ -126,14 +126,14 @@ def filter_importance(spark, d):
 
 @query()
 def extractive_summary(spark, d):
-    q = texts(spark, d).withColumnRenamed("text", "question")
+    q = texts(spark, d).select("query_id", t.distinct_words(F.col("text")).alias("question"))
     return hits(spark, d).join(q, "query_id").select("query_id", "doc_id", t.summary(F.col("question"), F.col("text")).alias("summary"))
 
 
 @query()
 def compress(spark, d):
     """Important passages, summed up for the question, within the budget."""
-    q = texts(spark, d).withColumnRenamed("text", "question")
+    q = texts(spark, d).select("query_id", t.distinct_words(F.col("text")).alias("question"))
     kept = hits(spark, d).withColumn("b", F.round(_boost(), 5)).where("b >= 0.05").join(q, "query_id")
     short = kept.select("query_id", "doc_id", "rank", t.summary(F.col("question"), F.col("text")).alias("text"))
     return c.truncated_to_budget(short, ["query_id"], ["rank"], 600).select("query_id", "doc_id", "rank", "text", "words")
