@@ -56,3 +56,19 @@ def test_queries_have_the_contracts_columns(spark):
     for name, columns in want.items():
         assert q.queries()[name](spark, SF).columns == columns
     assert sorted(int(n[2:].split("_")[0]) for n in q.queries()) == list(range(1, 11))
+
+
+@needs_data
+def test_queries_against_their_sql(spark):
+    import duckdb
+
+    from docloom.llm import queries as q
+
+    con = duckdb.connect()
+    for name in ("documents", "pages", "embeddings"):
+        con.sql(f"create view {name} as select * from '{SF}/{name}.parquet'")
+    for name, sql in q.oracle_sql().items():
+        rel = con.sql(sql)
+        columns = rel.columns
+        got = sorted(repr(tuple(r[c] for c in columns)) for r in q.queries()[name](spark, SF).collect())
+        assert got == sorted(map(repr, rel.fetchall())), name
