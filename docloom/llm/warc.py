@@ -58,10 +58,10 @@ def _shards(rows: DataFrame, shard_bytes: int) -> list[int]:
         spans = {k: (a, max(1, -(-(b - a + 1) // cells))) for k, (a, b) in enumerate(todo)}
         part = F.lit(None).cast("int")
         for k, (a, b) in enumerate(todo):
-            part = F.when(F.col("page_id").between(a, b), F.lit(k)).otherwise(part)
-        width = F.element_at(F.array(*(F.lit(spans[k][1]).cast("long") for k in spans)), F.col("part") + 1)
-        start = F.element_at(F.array(*(F.lit(spans[k][0]).cast("long") for k in spans)), F.col("part") + 1)
-        cell = F.floor((F.col("page_id") - start) / width)
+            part = F.when(F.col("page_id").between(max(a, -(1 << 63)), min(b, (1 << 63) - 1)), F.lit(k)).otherwise(part)
+        # Decimals: ids may be spread over more than a long can count.
+        pick = lambda n: F.element_at(F.array(*(F.lit(str(spans[k][n])).cast("decimal(20,0)") for k in spans)), F.col("part") + 1)  # noqa: B023, E731
+        cell = F.floor((F.col("page_id").cast("decimal(20,0)") - pick(0)) / pick(1)).cast("long")
         got = rows.withColumn("part", part).where("part is not null").groupBy("part", cell.alias("cell")).agg(F.sum("size").alias("size")).collect()
         todo = []
         for part_, cell_, size in got:

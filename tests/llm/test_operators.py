@@ -103,6 +103,17 @@ def test_warc_small_payloads_are_responses(spark, tmp_path):
     assert got == {1: "response", 2: "response", 3: "revisit", 4: "response"}
 
 
+def test_warc_of_ids_far_apart(spark, tmp_path):
+    from docloom.llm import warc
+
+    ids = [-(1 << 63), -5, 0, 3, 4, 5, 6, (1 << 63) - 1]
+    pages = spark.createDataFrame([(i, "u", f"{i} " * 100) for i in ids], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/a"
+    manifest = warc.write_warc(pages, folder, shard_bytes=500)
+    assert manifest.select("shard").distinct().count() > 3
+    assert sorted(r.page_id for r in warc.read_warc(manifest, folder).collect()) == ids
+
+
 def test_warc_of_nothing(spark):
     from docloom.llm import warc
 
