@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,55 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _blocks(queries: DataFrame, corpus: DataFrame, block: int, scan) -> list[DataFrame]:
+    """For each block of queries what ``scan`` makes of the rows of ``corpus`` that have a vector.
+
+    ``scan`` gets (ids, matrix) of a block, and batches of rows. A block goes to the driver and is sent out; its size is fixed.
+    """
+    spark = corpus.sparkSession
+    have = lambda df: df.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), "embedding")
+    asked, rows = have(queries), have(corpus)
+    blocks, out = max(1, -(-asked.count() // block)), []
+    for number in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == number) if blocks > 1 else asked
+        held = own.toArrow().combine_chunks()
+        q = _matrix(held.column(1).combine_chunks()) if held.num_rows else np.zeros((0, 1))
+        shared = spark.sparkContext.broadcast((held.column(0).to_numpy(), q))
+        out.append(rows.mapInArrow(lambda batches, shared=shared: scan(*shared.value, batches), "query_id long, vec_id long, score double"))
+    return out
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], size: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            part = batch.slice(at, size)
+            yield part.column(0).to_numpy(), _matrix(part.column(1))
+
+
+def _rows(ids: np.ndarray, others: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(others), pa.array(scores)], ["query_id", "vec_id", "score"])
+
+
+def similar(queries: DataFrame, corpus: DataFrame, least: float | None = None, metric: str = "cosine", *, skip_own: bool = True, block: int = BLOCK) -> DataFrame:
+    """query_id, vec_id and score of all rows of ``corpus`` for each query, or of those with a score of ``least`` or more.
+
+    Scores stream out as they are made; no task holds more than a tile of them.
+    """
+
+    def scan(ids: np.ndarray, q: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, matrix in _tiles(batches):
+            s = _scores(q, matrix, metric)
+            keep = np.ones(s.shape, bool) if least is None else s >= least
+            if skip_own:
+                keep &= ids[:, None] != c
+            a, b = np.nonzero(keep)
+            if len(a):
+                yield _rows(ids[a], c[b], s[a, b])
+
+    parts = _blocks(queries, corpus, block, scan)
+    return reduce(DataFrame.unionByName, parts)
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", *, skip_own: bool = True, block: int = BLOCK) -> DataFrame:
     """query_id, vec_id, score and rank of the ``k`` nearest vectors of ``corpus`` for each row of ``queries``.
 
@@ -38,40 +88,25 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
-    spark, sign = corpus.sparkSession, -1.0 if metric == "l2" else 1.0
-    have = lambda df: df.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), "embedding")
-    asked, rows = have(queries), have(corpus)
-    blocks, out = max(1, -(-asked.count() // block)), None
-    for number in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == number) if blocks > 1 else asked
-        held = own.toArrow().combine_chunks()
-        ids = held.column(0).to_numpy()
-        q = _matrix(held.column(1).combine_chunks()) if held.num_rows else np.zeros((0, 1))
-        shared = spark.sparkContext.broadcast((ids, q))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            best_s, best_c = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), np.int64)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    part = batch.slice(at, 1024)
-                    c = part.column(0).to_numpy()
-                    s = sign * _scores(q, _matrix(part.column(1)), metric)
-                    if skip_own:
-                        s[ids[:, None] == c] = -np.inf
-                    best_s, best_c = np.hstack([best_s, s]), np.hstack([best_c, np.broadcast_to(c, s.shape)])
-                    order = np.lexsort((best_c, -best_s), axis=1)[:, :k]
-                    best_s, best_c = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_c, order, 1)
-            good = np.isfinite(best_s)
-            if good.any():
-                who = np.broadcast_to(ids[:, None], best_s.shape)
-                yield pa.RecordBatch.from_arrays([pa.array(who[good]), pa.array(best_c[good]), pa.array(sign * best_s[good])], ["query_id", "vec_id", "score"])
-
-        part = rows.mapInArrow(run, "query_id long, vec_id long, score double")
-        out = part if out is None else out.unionByName(part)
+    sign = -1.0 if metric == "l2" else 1.0
+
+    def scan(ids: np.ndarray, q: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best_s, best_c = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), np.int64)
+        for c, matrix in _tiles(batches):
+            s = sign * _scores(q, matrix, metric)
+            if skip_own:
+                s[ids[:, None] == c] = -np.inf
+            best_s, best_c = np.hstack([best_s, s]), np.hstack([best_c, np.broadcast_to(c, s.shape)])
+            order = np.lexsort((best_c, -best_s), axis=1)[:, :k]
+            best_s, best_c = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_c, order, 1)
+        good = np.isfinite(best_s)
+        if good.any():
+            yield _rows(np.broadcast_to(ids[:, None], best_s.shape)[good], best_c[good], sign * best_s[good])
+
+    parts = _blocks(queries, corpus, block, scan)
     order = F.col("score").asc() if metric == "l2" else F.col("score").desc()
     w = Window.partitionBy("query_id").orderBy(order, "vec_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 20, *, variant: str = "okapi", k1: float | None = None, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:

@@ -53,8 +53,7 @@ for _m in search.METRICS:
 
 @query("SELECT q.vec_id AS query_id, c.vec_id AS vec_id, round(round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9), 6) AS score FROM embeddings q JOIN embeddings c ON q.vec_id % 20 = 0")
 def join_cross_similarity(spark, d):
-    n = vectors(spark, d).count()
-    out = search.nearest(asked(spark, d), vectors(spark, d), max(1, n), skip_own=False)
+    out = search.similar(asked(spark, d), vectors(spark, d), skip_own=False)
     return out.select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
@@ -367,8 +366,7 @@ def rerank_cross_encoder(spark, d):
 
 @query(f"SELECT query_id, vec_id, round(score, 6) AS score FROM ({nearest_sql(1000000)}) WHERE score >= 0.3")
 def filter_semantic(spark, d):
-    n = vectors(spark, d).count()
-    return search.nearest(asked(spark, d), vectors(spark, d), max(1, n)).where("score >= 0.3").select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    return search.similar(asked(spark, d), vectors(spark, d), 0.3).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT query_id, vec_id, round(score, 6) AS score, rank FROM ({nearest_sql(20)})")
