@@ -395,7 +395,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "scor
     shared, at = docs.sparkSession.sparkContext.broadcast(model), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, at, 4 << 20):
+        for batch in slices(batches, at, 1 << 20):
             out = shared.value.scores(*bytes_of(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, pa.float64())], [*names, score])
 
@@ -420,7 +420,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2, 4 << 20):
+        for batch in slices(batches, 2, 1 << 20):
             score = shared.value.scores(*bytes_of(batch.column(2)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(score, pa.float64()), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
