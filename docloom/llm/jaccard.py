@@ -321,7 +321,10 @@ def _roots(sets: DataFrame) -> DataFrame:
             active = opened.join(open_.select("token"), "token", "left_semi").join(busy, "sid")
             x, y = (active.select("token", F.col("sid").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in (*own[1:], "before"))) for k in "ab")
             may = (F.col("root_a") < F.col("root_b")) & _may_link(*(F.col(c) for c in ("n_a", "m_a", "n_b", "m_b")))
-            pairs = x.join(y, "token").where(may & ~F.arrays_overlap("before_a", "before_b")).select("a", "b")
+            # Sets of these sizes must share ``least`` members, so few of either's can stand before the first of them.
+            least = F.expr(f"((n_a + n_b) * {PERCENT} + {PERCENT + PERCENT_OF - 1}) div {PERCENT + PERCENT_OF}")
+            early = (F.size("before_a") + least <= F.col("m_a")) & (F.size("before_b") + least <= F.col("m_b"))
+            pairs = x.join(y, "token").where(may & early & ~F.arrays_overlap("before_a", "before_b")).select("a", "b")
         found = written(_links(pairs, sets), "near-links")
         links = found if links is None else links.unionByName(found)
         roots = written(components(links), "near-roots")
