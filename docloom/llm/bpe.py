@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import json
+import os
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -124,6 +125,12 @@ def _reachable(v: Vocabulary) -> Vocabulary:
     return v
 
 
+def file_name(path: str) -> tuple[str, int, int]:
+    """What tells a vocabulary file from others and from its earlier contents, so that a worker keeps what it made of it."""
+    found = os.stat(path)
+    return path, found.st_size, found.st_mtime_ns
+
+
 def shipped(spark: SparkSession, v: Vocabulary):
     """``v`` as a broadcast; its size is that of the vocabulary file, whatever the corpus."""
     return spark.sparkContext.broadcast(v)

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .bpe import Vocabulary, read_ranks, shipped
+from .bpe import Vocabulary, file_name, read_ranks, shipped
 from .common import slices, text_or_empty
 
 
@@ -112,12 +112,13 @@ def encoded(df: DataFrame, path: str, pattern: str, *, text: str = "text", ids:
         added += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]
     names = [f.name for f in added]
     keep = [c for c in df.columns if c != text and c not in names]
-    held, at = shipped(df.sparkSession, read_ranks(path)), len(keep)
+    held, name, at = shipped(df.sparkSession, read_ranks(path)), file_name(path), len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec.get("it")
-        if codec is None or codec.v is not held.value or codec.pattern.pattern != pattern:
-            codec = _codec["it"] = Codec(held.value, pattern)
+        codec = _codec.get((name, pattern))
+        if codec is None:
+            _codec.clear()
+            codec = _codec[name, pattern] = Codec(held.value, pattern)
         sha = lambda data: hashlib.sha256(data).hexdigest()
         for batch in slices(batches, at):
             rows = []

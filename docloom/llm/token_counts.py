@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import Vocabulary, read_json, shipped
+from .bpe import Vocabulary, file_name, read_json, shipped
 from .common import bytes_of, mix64, slices, text_or_empty
 
 #: Characters of a chunk.
@@ -162,7 +162,7 @@ class CountTransducer:
     """
 
     #: States kept before everything is compiled anew: about 100 MB.
-    MOST = 300_000
+    MOST = 250_000
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -352,15 +352,16 @@ def token_counts(df: DataFrame, path: str, text: str = "text", count: str = "n_t
     each, nothing is added or cut off. Rows, other columns and their order stay as they are; the text itself comes
     back only with ``keep_text``.
     """
-    held = shipped(df.sparkSession, read_json(path))
+    held, name = shipped(df.sparkSession, read_json(path)), file_name(path)
     keep = [c for c in df.columns if c != count and (keep_text or c != text)]
     at = len(keep)
     wide = df.select(*(df[c] for c in keep), text_or_empty(df, text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = _compiled.get("it")
-        if machine is None or machine.v is not held.value:
-            machine = _compiled["it"] = CountTransducer(held.value)
+        machine = _compiled.get(name)
+        if machine is None:
+            _compiled.clear()  # one at a time: a machine takes a hundred megabytes
+            machine = _compiled[name] = CountTransducer(held.value)
         for batch in slices(batches, at, 2 << 20):
             n = count_tokens(machine, *bytes_of(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(n, pa.int64())], [*keep, count])
