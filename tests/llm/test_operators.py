@@ -530,3 +530,35 @@ def test_passages_against_exact_windows(spark):
             if first.setdefault(tuple(t[a : a + 50]), k) != k:
                 need[k].update(range(a, a + 50))
     assert sum(len(need[k] - got[k]) for k in need) <= 0.02 * sum(map(len, need.values()))
+
+
+def test_passages_with_a_frequent_line(spark):
+    from docloom.llm.passages import repeated_passages
+
+    rng = random.Random(11)
+    line, rows, pairs = words(rng, 24), [], 30
+    for k in range(pairs):
+        front, back = words(rng, 13), words(rng, 13)
+        rows += [(1000 + k, words(rng, 40) + front + line + back), (3000 + k, front + line + back + words(rng, 40))]
+    rows += [(k, words(rng, 60) + line + words(rng, 60)) for k in [*range(40), *range(2000, 2040), *range(4000, 4040)]]
+    rows = [(d, " ".join(t)) for d, t in rows]
+    got = {(r.doc_id, r.first_id, r.start, r.end) for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == {(3000 + k, 1000 + k, 0, 50) for k in range(pairs)}
+
+
+def test_meetings_do_not_depend_on_batches():
+    import pyarrow as pa
+
+    from docloom.llm.passages import _meetings
+
+    rng = np.random.default_rng(12)
+    key = np.sort(rng.integers(0, 12, 150)) * 8 + 0
+    rows = sorted(zip(key.tolist(), rng.integers(0, 7, 150).tolist(), range(150)))
+    whole = [pa.array(np.array([r[j] for r in rows], t)) for j, t in ((0, np.int64), (1, np.int64), (2, np.int32), (2, np.int32), (2, np.int32))]
+    batch = pa.RecordBatch.from_arrays(whole, ["key", "doc_id", "c", "l", "r"])
+    for marks in (1, 3, None):
+        results = []
+        for size in (150, 1, 2, 7):
+            out = _meetings(marks)(iter([batch.slice(k, size) for k in range(0, 150, size)]))
+            results.append(sorted((repr(r) for b in out for r in b.to_pylist())))
+        assert results[0] and all(r == results[0] for r in results)
