@@ -562,3 +562,31 @@ def test_meetings_do_not_depend_on_batches():
             out = _meetings(marks)(iter([batch.slice(k, size) for k in range(0, 150, size)]))
             results.append(sorted((repr(r) for b in out for r in b.to_pylist())))
         assert results[0] and all(r == results[0] for r in results)
+
+
+def test_passages_with_insertions(spark):
+    from docloom.llm.passages import _compared, repeated_passages
+
+    rng, rows, want = random.Random(13), [], {}
+    for k, (size, more) in enumerate([(50, 2), (60, 4), (80, 7), (90, 8)] * 3):
+        passage = words(rng, size)
+        copy = passage[: size // 2] + words(rng, more) + passage[size // 2 :]
+        own, other = (np.array([hash(tuple(t[j : j + 5])) for j in range(len(t) - 4)], np.int64).view(np.uint64) for t in (copy, passage))
+        assert [(s, e) for s, e, *_ in _compared(own, 0, other, 46)] == [(0, size + more)]
+        rows += [(k, " ".join(words(rng, 30) + passage)), (100 + k, " ".join(copy + words(rng, 30)))]
+        want[100 + k] = (k, 0, size + more)
+    got = {r.doc_id: (r.first_id, r.start, r.end) for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got.items()) <= set(want.items()) and len(got) >= 0.7 * len(want)
+
+
+def test_runs_against_all_rows_of_runs():
+    from docloom.llm.passages import _runs
+
+    rng = np.random.default_rng(14)
+    for share in (0.5, 0.8, 0.9):
+        for _ in range(30):
+            match = rng.random(40) < share
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], match.view(np.int8), [0]])))
+            good = [(a, b) for a in edges[::2] for b in edges[1::2] if a < b and 5 * match[a:b].sum() >= 4 * (b - a)]
+            most = {(a, b) for a, b in good if not any((c, d) != (a, b) and c <= a and b <= d for c, d in good)}
+            assert {(r[0][0], r[-1][1]) for r in _runs(match)} == most
