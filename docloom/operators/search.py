@@ -109,8 +109,8 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine
     return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 20, *, variant: str = "okapi", k1: float | None = None, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """query_id, doc_id, score and rank of the ``k`` best documents with a positive score for each query.
+def bm25(queries: DataFrame, docs: DataFrame, k: int | None = 20, *, variant: str = "okapi", k1: float | None = None, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """query_id, doc_id, score and rank of the ``k`` best documents with a positive score for each query, of all of them if ``k`` is None.
 
     ``queries`` has query_id and text, ``docs`` doc_id and text. ``okapi``: idf = ln(N - n + .5) - ln(n + .5), and terms of more
     than half of the documents get ``epsilon`` times the mean idf; ``lucene``: ln(1 + (N - n + .5) / (n + .5)). A term counts as
@@ -135,7 +135,8 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 20, *, variant: str = "ok
     part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean))
     scores = tf.join(weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = scores.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def normalized(score: Column, how: str, group: list[str], tie: str) -> Column:

@@ -91,6 +91,14 @@ def test_bm25_of_frequent_terms_and_nothing(spark):
     assert search.bm25(q, docs.where("false")).count() == 0
 
 
+def test_bm25_without_k_ranks_all(spark):
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("a "), F.col("id").cast("string")).alias("text"))
+    q = spark.createDataFrame([(1, "a")], "query_id long, text string")
+    got = search.bm25(q, docs, None, variant="lucene").collect()
+    assert sorted(r.rank for r in got) == list(range(1, 61)) and len({r.doc_id for r in got}) == 60
+    assert search.bm25(q, docs, variant="lucene").count() == 20
+
+
 def test_nearest_in_blocks(spark):
     df = spark.createDataFrame([(k, [float(k % 7), float(k % 5), 1.0]) for k in range(100)] + [(200, None)], "vec_id long, embedding array<double>")
     q = df.where("vec_id < 20")
