@@ -210,12 +210,32 @@ def inverted_lists(corpus: DataFrame, lists: int | None = None, *, seed: int = 4
     return fitted, fitted.transform(rows).withColumnRenamed("prediction", "list").drop("features")
 
 
-def nearest_by_lists(queries: DataFrame, corpus: DataFrame, k: int = 10, probes: int = 8, **options) -> DataFrame:
-    """Approximate ``nearest`` by inner product: each query looks into the ``probes`` lists whose centroids are nearest."""
+def _probes(asked: DataFrame, listed: DataFrame, centers: np.ndarray, k: int, recall: float, sample: int = 256) -> int:
+    """The fewest lists that hold ``recall`` of the true ``k`` nearest of ``sample`` queries (those with the smallest hash of vec_id)."""
+    few = asked.where("embedding is not null and vec_id is not null").orderBy(F.xxhash64("vec_id")).limit(sample)
+    held = few.select("vec_id", "embedding").toArrow().combine_chunks()
+    if not held.num_rows:
+        return 1
+    score = _matrix(held.column(1).combine_chunks()) @ centers.T
+    place = np.argsort(np.argsort(-score, axis=1, kind="stable"), axis=1)
+    row = {v: n for n, v in enumerate(held.column(0).to_pylist())}
+    found = nearest(few, listed, k, "ip").select("query_id", "vec_id").join(listed.select("vec_id", "list"), "vec_id").select("query_id", "list").collect()
+    if not found:
+        return 1
+    need = np.sort([place[row[r.query_id], r.list] for r in found])
+    return int(need[max(0, int(np.ceil(recall * len(need))) - 1)]) + 1
+
+
+def nearest_by_lists(queries: DataFrame, corpus: DataFrame, k: int = 10, probes: int | None = None, *, recall: float = 0.95, **options) -> DataFrame:
+    """Approximate ``nearest`` by inner product: each query looks into the ``probes`` lists whose centroids are nearest.
+
+    Without ``probes`` it looks into as many as hold ``recall`` of the true neighbours of some of the queries.
+    """
     from docloom.functions.vectors import dot
 
     model, listed = inverted_lists(corpus, **options)
     centers = np.array(model.clusterCenters())
+    probes = probes or _probes(queries, listed, centers, k, recall)
     score = F.array(*(dot(F.col("embedding"), F.array(*(F.lit(float(x)) for x in c))) for c in centers))
     ranked = F.array_sort(F.transform(score, lambda s, n: F.struct((-s).alias("s"), n.alias("list"))))
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.explode(F.slice(F.transform(ranked, lambda x: x["list"]), 1, probes)).alias("list"))

@@ -119,6 +119,21 @@ def test_inverted_lists_find_most(spark):
     assert len(want & got) >= 0.9 * len(want)
 
 
+def test_inverted_lists_reach_their_recall_on_a_table(spark):
+    import os
+
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    df = spark.read.parquet(path).select("vec_id", "embedding")
+    q = df.where("vec_id % 7 = 0")
+    want = {(r.query_id, r.vec_id) for r in search.nearest(q, df, 10, "ip").collect()}
+    got = {(r.query_id, r.vec_id) for r in search.nearest_by_lists(q, df).collect()}
+    share = len(want & got) / len(want)
+    print("recall", share)
+    assert share >= 0.9
+
+
 def test_half_precision(spark):
     assert one(spark, [0.1, -3.0, 0.0], v.halved, "array<float>") == [0.0999755859375, -3.0, 0.0]
 
