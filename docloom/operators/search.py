@@ -260,20 +260,31 @@ def nearest_by_hashing(queries: DataFrame, corpus: DataFrame, k: int = 10, *, bu
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def product_codes(corpus: DataFrame, parts: int = 8, centers: int = 16, *, seed: int = 42, sample: int = 100_000) -> DataFrame:
-    """vec_id, codes and the vector that they stand for: each of ``parts`` stretches by its nearest of ``centers`` centroids."""
+def product_codes(corpus: DataFrame, parts: int = 8, centers: int = 256, *, seed: int = 42, sample: int = 100_000) -> DataFrame:
+    """vec_id, codes and the vector that they stand for: each of ``parts`` stretches by its nearest of ``centers`` centroids
+    (as many as there are different stretches, if fewer)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     width = corpus.select(F.size("embedding")).first()[0] // parts
     rows = corpus.withColumn("v", F.col("embedding").cast("array<double>"))
     few = rows.orderBy(F.xxhash64("vec_id")).limit(sample)
-    out, codes, pieces = rows, [], []
+    out, codes, books = rows, [], []
     for k in range(parts):
         stretch = array_to_vector(F.slice("v", k * width + 1, width))
         model = KMeans(k=centers, seed=seed, maxIter=5, featuresCol=f"f{k}", predictionCol=f"c{k}").fit(few.withColumn(f"f{k}", stretch))
         out = model.transform(out.withColumn(f"f{k}", stretch)).drop(f"f{k}")
-        book = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in model.clusterCenters()))
+        books.append(np.array(model.clusterCenters()))
         codes.append(F.col(f"c{k}"))
-        pieces.append(F.element_at(book, F.col(f"c{k}") + 1))
-    return out.select("vec_id", F.array(*codes).alias("codes"), F.concat(*pieces).alias("decoded"))
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                code = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+                flat = np.hstack([book[code[:, k]] for k, book in enumerate(books)])
+                ends = np.arange(batch.num_rows + 1, dtype=np.int32) * flat.shape[1]
+                column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), column], ["vec_id", "codes", "decoded"])
+
+    coded = out.select("vec_id", F.array(*codes).alias("codes"))
+    return coded.mapInArrow(decoded, f"vec_id {coded.schema['vec_id'].dataType.simpleString()}, codes array<int>, decoded array<double>")

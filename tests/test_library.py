@@ -134,6 +134,19 @@ def test_inverted_lists_reach_their_recall_on_a_table(spark):
     assert share >= 0.9
 
 
+def test_product_codes_have_eight_bits(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 16))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = search.product_codes(df, parts=2).collect()
+    error = np.mean([((np.array(r.decoded) - x[r.vec_id]) ** 2).sum() / (x[r.vec_id] ** 2).sum() for r in rows])
+    assert len(rows) == 600 and max(c for r in rows for c in r.codes) >= 200 and error < 0.3
+    few = spark.createDataFrame([(k, [float(k % 3)] * 16) for k in range(30)], "vec_id long, embedding array<double>")
+    assert all(np.allclose(r.decoded, r.vec_id % 3) for r in search.product_codes(few, parts=2).collect())
+
+
 def test_half_precision(spark):
     assert one(spark, [0.1, -3.0, 0.0], v.halved, "array<float>") == [0.0999755859375, -3.0, 0.0]
 
