@@ -4,10 +4,15 @@ The kernel of two strings sums, over all subsequences of three letters that both
 have, a decay for the room they take in each, so ``i.d.i.o.t`` and ``idxiot`` stay
 close to ``idiot``.  A document is a bag of sentences and a sentence a bag of
 strings: its words (long ones in overlapping windows) and its runs of very short
-words put together, which catches spaced-out spellings.  Labels of documents
-reach their strings by multiple-instance learning: a toxic document's most toxic
-strings are positives, the strings of the others negatives, and a logistic curve
-turns the largest margins of a text into its score.
+words put together, which catches spaced-out spellings.  Sentences carry the label
+of their document, which multiple-instance learning brings to their strings: those
+that speak for toxic documents more than chance would are positives, the strings of
+clean sentences are negatives, and the SVM works on the negatives that violate its
+margin until hardly any does.
+
+How a document's margins become its score is learnt from other labelled documents
+than the SVM saw: a logistic curve over its largest margins, over how many
+different strings reach each of some margins, and over how many it has.
 
 A kernel with few landmarks is linear in the subsequences, so the trained model
 is one weight for each of them (a table of 29 x 29 x 29) and a bias; scoring
@@ -26,12 +31,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATOR, bytes_of, slices, text_or_empty
+from .common import SEPARATOR, bytes_of, slices, text_or_empty, written
 from .shingles import word_hashes
 
-#: Labelled documents that the model is fitted on at most (those with the smallest hash of doc_id), strings of the others' kind that
-#: count as negatives at first and that each round adds, strings that are looked through for those, landmarks of each kind, and rounds.
-SAMPLE, NEGATIVES, HARDER, LOOKED_THROUGH, LANDMARKS, ROUNDS = 6000, 10_000, 4000, 200_000, 128, 4
+#: Labelled documents that are learnt from at most (those with the smallest hash of doc_id), and of their sentences about how many
+#: at most (a pseudo-random choice). Two of three documents are the SVM's, the others the curve's.
+SAMPLE, SENTENCES = 9000, 200_000
+#: Strings of a sentence at most, where it is cut otherwise.
+STRINGS = 40
+#: Landmarks of each kind; passes over the negatives, and how many violating ones each adds; evidence that makes a string a
+#: positive (log-likelihood ratio, absolute and as a share of the strongest).
+LANDMARKS, ROUNDS, HARDER, TELLING, TELLING_SHARE = 128, 3, 6000, 6.0, 0.04
 #: Decay of the kernel for each place, letters of a window, its step, and letters of a word that counts as very short.
 DECAY, WIDTH, STEP, SHORT = 0.6, 16, 8, 2
 #: Letters of the kernel: a-z, then what only takes room, and the beginning of a word; 0 pads.
@@ -39,8 +49,11 @@ BLANK, FILLER, BEGIN = 0, 27, 28
 SIZE = 29
 #: Weight of the SVM's norm against its losses.
 RIDGE = 0.03
-#: Margins of a text that its score looks at.
-TOP = 3
+#: Weight of all positives against that of the negatives.
+BALANCE = 0.3
+#: Margins of a text that its score looks at, and margins for which it counts the strings that reach them.
+TOP, LEVELS = 4, (-0.5, 0.0, 0.5, 1.0)
+EVIDENCE = TOP + len(LEVELS) + 1
 #: Digits and signs that stand for letters.
 _LOOKS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "|": "l"}
 
@@ -82,9 +95,14 @@ _WEIGHTS = (DECAY ** (_TRIPLES[:, 2] - _TRIPLES[:, 0] + 1)).astype(np.float32)
 
 def strings(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The strings of all texts as rows of WIDTH letters, and the text each belongs to."""
+    return _strings(data, offsets)[:2]
+
+
+def _strings(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Also the byte at which the word of each begins."""
     _, at, before = word_hashes(data, offsets)
     if not len(at):
-        return np.zeros((0, WIDTH), np.uint8), np.zeros(0, np.int64)
+        return np.zeros((0, WIDTH), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
     own = np.searchsorted(before, np.arange(len(at)), side="right") - 1
     # Letters alone, one for each character of a word, and where each word begins among them.
     letter, last = letters(data)
@@ -97,9 +115,9 @@ def strings(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     for _ in range(3):  # signs after a word are no part of it, unless nothing else is
         size = size - ((size > 1) & (flat[begin + size - 1] == FILLER))
     places = np.arange(WIDTH)
-    rows, texts = [], []
+    rows, words = [], []
 
-    def put(starts: np.ndarray, sizes: np.ndarray, owner: np.ndarray, lead: bool) -> None:
+    def put(starts: np.ndarray, sizes: np.ndarray, word: np.ndarray, lead: bool) -> None:
         block = np.empty((len(starts), WIDTH), np.uint8)
         block[:, 0] = BEGIN
         take = places[: WIDTH - lead]
@@ -107,15 +125,15 @@ def strings(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         part[take >= sizes[:, None]] = BLANK
         block[:, int(lead) :] = part
         rows.append(block)
-        texts.append(owner)
+        words.append(word)
 
-    put(begin, size, own, True)
+    put(begin, size, np.arange(len(begin)), True)
     long_ = np.flatnonzero(size > WIDTH - 1)
     if len(long_):
         more = -(-(size[long_] - WIDTH + 1) // STEP)
         which = np.repeat(long_, more)
         shift = (np.arange(len(which)) - np.repeat(np.cumsum(more) - more, more) + 1) * STEP
-        put(begin[which] + shift, size[which] - shift, own[which], False)
+        put(begin[which] + shift, size[which] - shift, which, False)
     # Runs of at least three very short words, put together.
     tiny = size <= SHORT
     follows = np.zeros(len(tiny), bool)
@@ -124,7 +142,7 @@ def strings(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if len(first):
         broken = np.append(np.flatnonzero(~follows), len(tiny))
         lengths = broken[np.searchsorted(broken, first, side="right")] - first
-        blocks, owners = [], []
+        blocks, heads = [], []
         for f, n in zip(first[lengths >= 3].tolist(), lengths[lengths >= 3].tolist()):
             glued = np.concatenate([[np.uint8(BEGIN)], *(flat[begin[k] : begin[k] + size[k]] for k in range(f, f + n))])
             for a in range(0, max(1, len(glued) - WIDTH + STEP), STEP):
@@ -132,19 +150,41 @@ def strings(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
                 part = glued[a : a + WIDTH]
                 block[: len(part)] = part
                 blocks.append(block)
-                owners.append(own[f])
+                heads.append(f)
         if blocks:
             rows.append(np.array(blocks, np.uint8))
-            texts.append(np.array(owners, np.int64))
-    return np.concatenate(rows), np.concatenate(texts)
+            words.append(np.array(heads, np.int64))
+    word = np.concatenate(words)
+    return np.concatenate(rows), own[word], at[word]
+
+
+def sentences(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Of each sentence, the text it is in and its strings, WIDTH bytes each, without those that an earlier one of the text has.
+
+    A sentence ends after a word with ``.``, ``!``, ``?`` or a line break behind its last letter; one of more than STRINGS strings is cut."""
+    table, own, place = _strings(data, offsets)
+    if not len(table):
+        return
+    ends = np.concatenate([[0], np.cumsum((data == 0x0A) | np.isin(data, np.frombuffer(b".!?", np.uint8)) & np.append(SEPARATOR[data[1:]], True))])
+    _, back = _distinct(table)
+    order = np.lexsort((place, own))
+    first = np.unique((own * (int(back.max()) + 1) + back)[order], return_index=True)[1]
+    order = order[np.sort(first)]
+    mark = np.stack([own[order], ends[place[order]]])
+    begins = np.flatnonzero(np.append(True, (mark[:, 1:] != mark[:, :-1]).any(0)))
+    for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(order)]):
+        for at in range(a, b, STRINGS):
+            yield int(own[order[at]]), table[order[at : min(at + STRINGS, b)]].tobytes()
 
 
 def _distinct(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different rows, and for each row of ``table`` which of them it is."""
     keys = np.ascontiguousarray(table).view(np.uint64).reshape(len(table), 2)
-    mixed = keys[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ (keys[:, 1] + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xD6E8FEB86659FD93)
-    _, first, back = np.unique(mixed, return_index=True, return_inverse=True)
-    return table[first], back
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    fresh = np.append(True, (keys[order[1:]] != keys[order[:-1]]).any(1))[: len(order)]
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(fresh) - 1
+    return table[order[fresh]], back
 
 
 def self_kernels(table: np.ndarray) -> np.ndarray:
@@ -181,7 +221,7 @@ def _codes(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """A weight for each subsequence, a bias, and the curve from a text's three largest margins to its score."""
+    """A weight for each subsequence, a bias, and the curve from a text's evidence to its score."""
 
     weights: np.ndarray
     bias: float
@@ -213,20 +253,23 @@ class Model:
         return out
 
     def evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The largest margins of each text, TOP of them, each between -1 and 2."""
-        out = np.full((len(offsets) - 1, TOP), -1.0)
+        """Of each text, the TOP largest margins of its different strings (-1 to 1.5), how many strings exceed each of LEVELS, and how many it has (logarithms)."""
+        n = len(offsets) - 1
+        out = np.zeros((n, EVIDENCE))
+        out[:, :TOP] = -1
         table, own = strings(data, offsets)
         if len(table):
             different, back = _distinct(table)
-            margin = self.margins(different)[back]
+            key = np.unique(own * len(different) + back)
+            own, margin = key // len(different), np.clip(self.margins(different), -1, 1.5)[key % len(different)]
             high = np.flatnonzero(margin > -1)
-            margin, own = np.minimum(margin[high], 2), own[high]
-            order = np.lexsort((-margin, own))
-            margin, own = margin[order], own[order]
-            first = np.searchsorted(own, own)
-            rank = np.arange(len(own)) - first
-            held = rank < TOP
-            out[own[held], rank[held]] = margin[held]
+            order = high[np.lexsort((-margin[high], own[high]))]
+            rank = np.arange(len(order)) - np.searchsorted(own[order], own[order])
+            held = order[rank < TOP]
+            out[own[held], rank[rank < TOP]] = margin[held]
+            for k, level in enumerate(LEVELS):
+                out[:, TOP + k] = np.log1p(np.bincount(own[margin > level], minlength=n))
+            out[:, -1] = np.log1p(np.bincount(own, minlength=n))
         return out
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -275,94 +318,57 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 30) -> tup
     return w[:-1], float(w[-1])
 
 
-def _parts(texts: list[str], most: int = 1 << 20) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """The texts in parts of about ``most`` bytes: the number of the first, their bytes, and where each begins."""
-    out, held, first, size = [], [], 0, 0
-    for k, text in enumerate(texts):
-        held.append(text.encode())
-        size += len(held[-1])
-        if size >= most or k == len(texts) - 1:
-            out.append((first, np.frombuffer(b"".join(held), np.uint8), np.cumsum([0] + [len(x) for x in held])))
-            held, first, size = [], k + 1, 0
-    return out
-
-
-def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
-    """A model of labelled texts. Without texts of both labels every score is the share of toxic ones."""
-    toxic = np.asarray(toxic, bool)
-    share = (toxic.sum() + 1) / (len(toxic) + 2)
-    if not toxic.any() or toxic.all():
-        return Model(np.zeros(SIZE**3, np.float32), 0.0, np.zeros(TOP), float(np.log(share / (1 - share))))
-    parts = _parts(texts)
-    tables, pairs, base = [], [], 0
-    for first, data, offsets in parts:
-        table, own = strings(data, offsets)
-        if len(table):
-            table, back = _distinct(table)
-            keys = np.unique(own * len(table) + back)
-            pairs.append(np.stack([first + keys // len(table), base + keys % len(table)], 1))
-            tables.append(table)
-            base += len(table)
-    if not tables:
-        return Model(np.zeros(SIZE**3, np.float32), 0.0, np.zeros(TOP), float(np.log(share / (1 - share))))
-    table, back = _distinct(np.concatenate(tables))
-    del tables
-    pairs = np.concatenate(pairs)  # text, string
-    pairs[:, 1] = back[pairs[:, 1]]
-    positive = toxic[pairs[:, 0]]
-    ones = np.bincount(pairs[positive, 1], minlength=len(table))
-    zeros = np.bincount(pairs[~positive, 1], minlength=len(table))
-    odds = np.log((ones + 0.5) / (toxic.sum() + 1)) - np.log((zeros + 0.5) / ((~toxic).sum() + 1))
-    telling = odds * np.sqrt(ones)
-    telling[(table > 0).sum(1) < 4] = -9
-    rng = np.random.default_rng(seed)
+def _evidence_for(ones: np.ndarray, zeros: np.ndarray, share: float) -> np.ndarray:
+    """Log-likelihood ratio of each string's share of toxic documents against ``share``; 0 where it is not above it."""
+    n = ones + zeros
+    q = np.clip(ones / np.maximum(n, 1), 1e-9, 1 - 1e-9)
+    return np.where(q > share, n * (q * np.log(q / share) + (1 - q) * np.log((1 - q) / (1 - share))), 0.0)
+
+
+def fit(table: np.ndarray, ones: np.ndarray, zeros: np.ndarray, toxic: int, clean: int) -> Model:
+    """A model, its curve not yet fitted, of different strings: in how many toxic and how many clean documents each is, of so many in all."""
+    share = (toxic + 1) / (toxic + clean + 2)
+    model = Model(np.zeros(SIZE**3, np.float32), -1.0, np.zeros(EVIDENCE), float(np.log(share / (1 - share))))
+    if not toxic or not clean or not len(table):
+        return model
+    whole = (table > 0).sum(1) >= 4
+    telling = np.where(whole, _evidence_for(ones, zeros, toxic / (toxic + clean)), 0.0)
+    held = np.flatnonzero(telling > max(TELLING, TELLING_SHARE * telling.max(initial=0.0)))
+    if not len(held):
+        return model
     common = np.flatnonzero(zeros > 0)
-    common = rng.choice(common, LOOKED_THROUGH, replace=False) if len(common) > LOOKED_THROUGH else common
-    few = rng.choice(common, min(NEGATIVES, len(common)), replace=False) if len(common) else common
-    # Landmarks: strings that labels speak for most, and as many of the others.
-    marks = np.concatenate([np.argsort(-telling * (ones > 2 * zeros), kind="stable")[:LANDMARKS], few[:LANDMARKS]])
+    # Landmarks: strings that labels speak for most, and the most frequent of the others.
+    marks = np.concatenate([held[np.argsort(-telling[held], kind="stable")[:LANDMARKS]], common[np.argsort(-(zeros * whole)[common], kind="stable")[:LANDMARKS]]])
     phi = np.concatenate([features(table[marks[a : a + 32]]) for a in range(0, len(marks), 32)])
     values, vectors = np.linalg.eigh((phi @ phi.T).astype(np.float64))
     keep = values > 1e-4
-    root = vectors[:, keep] / np.sqrt(values[keep])  # Nyström: features of x are k(x, landmarks) @ root
-    bags = pairs[positive]
-    # Strings of toxic texts that may be what makes them so; those that clean texts have as well are negatives.
-    clear = (telling > 1) & (ones > 2 * zeros)
-    held = np.unique(bags[clear[bags[:, 1]], 1])
-    few = np.union1d(few, np.flatnonzero((telling > 1) & ~clear & (zeros > 0)))
-    x_held, x_few = _against(table[held], phi) @ root.astype(np.float32), _against(table[few], phi) @ root.astype(np.float32)
-    spot = np.full(len(table), -1)
-    spot[held] = np.arange(len(held))
-    bags = bags[spot[bags[:, 1]] >= 0]
-    margin = telling / 4  # at first, one that clean texts lack and two toxic ones have counts
-    w, bias = np.zeros(root.shape[1]), 0.0
+    root = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)  # Nyström: features of x are k(x, landmarks) @ root
+    few = common[np.argsort(-(zeros * (telling <= TELLING))[common], kind="stable")[:HARDER]]
+    x_held, x_few, gain = _against(table[held], phi) @ root, _against(table[few], phi) @ root, np.sqrt(ones[held])
     for turn in range(ROUNDS):
-        chosen = bags[:, 1]
-        weight = np.bincount(chosen[margin[chosen] > (1.0 if turn == 0 else 0.0)], minlength=len(table))
-        picked = np.flatnonzero(weight)
-        gain = np.sqrt(weight[picked])
         against = np.sqrt(zeros[few])
-        cost = np.concatenate([gain * (0.3 * against.sum() / max(1.0, gain.sum())), against])
-        w, bias = _svm(np.concatenate([x_held[spot[picked]], x_few]), np.concatenate([np.ones(len(picked)), -np.ones(len(few))]), cost)
-        margin[held] = x_held @ w + bias
-        if turn < ROUNDS - 1:  # the clean strings that look worst join the negatives
-            linear = Model((phi.T @ (root @ w)).astype(np.float32), bias, np.zeros(TOP), 0.0)
-            linear.weights[0] = 0
-            seen = linear.margins(table[common])
-            hard = np.setdiff1d(common[np.argsort(-seen, kind="stable")[:HARDER]], few)
-            few = np.concatenate([few, hard])
-            x_few = np.concatenate([x_few, _against(table[hard], phi) @ root.astype(np.float32)])
-    model = Model((phi.T @ (root @ w)).astype(np.float32), bias, np.zeros(TOP), 0.0)
-    model.weights[0] = 0
-    model.slopes, model.shift = _curve(np.concatenate([model.evidence(data, offsets) for _, data, offsets in parts]), toxic)
+        cost = np.concatenate([gain * (BALANCE * max(1.0, against.sum()) / gain.sum()), against])
+        w, model.bias = _svm(np.concatenate([x_held, x_few]), np.concatenate([np.ones(len(held)), -np.ones(len(few))]), cost)
+        model.weights = (phi.T @ (root @ w)).astype(np.float32)
+        model.weights[0] = 0
+        if turn == ROUNDS - 1:
+            break
+        # Of all strings of clean sentences those that violate the margin most join the ones the SVM works on.
+        margin = model.margins(table[common])
+        worst = np.argsort(-(margin + 1) * np.sqrt(zeros[common]), kind="stable")[:HARDER]
+        hard = np.setdiff1d(common[worst[margin[worst] > -1]], few)
+        if not len(hard):
+            break
+        few, x_few = np.concatenate([few, hard]), np.concatenate([x_few, _against(table[hard], phi) @ root])
     return model
 
 
 def _curve(evidence: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression of the label on the margins, with a small ridge."""
-    z = np.hstack([evidence, np.ones((len(evidence), 1))])
-    ridge = np.diag([0.1] * TOP + [1e-3])
-    w = np.zeros(TOP + 1)
+    """Logistic regression of the label on the standardised evidence, with a small ridge."""
+    mean, spread = evidence.mean(0), evidence.std(0) + 1e-6
+    z = np.hstack([(evidence - mean) / spread, np.ones((len(evidence), 1))])
+    ridge = np.diag([1.0] * EVIDENCE + [1e-3])
+    w = np.zeros(EVIDENCE + 1)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         h = (z * (p * (1 - p) + 1e-9)[:, None]).T @ z + ridge
@@ -370,7 +376,7 @@ def _curve(evidence: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float]:
         w = w - np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return w[:TOP], float(w[TOP])
+    return w[:-1] / spread, float(w[-1] - (w[:-1] * mean / spread).sum())
 
 
 def held_out(doc_id: Column) -> Column:
@@ -378,13 +384,55 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of at most ``sample`` labelled rows that are not held out, those with the smallest hash of doc_id."""
+def _sentence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 2, 1 << 20):
+        found = list(sentences(*bytes_of(batch.column(2))))
+        for a in range(0, len(found), 10_000):
+            own, held = zip(*found[a : a + 10_000])
+            take = pa.array(own, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(range(a, a + len(own)), pa.int64()), pa.array(held, pa.binary())], ["doc_id", "toxic", "place", "strings"])
+
+
+def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 2, 4 << 20):
+        data, offsets = bytes_of(batch.column(2))
+        own = np.repeat(np.arange(batch.num_rows), np.diff(offsets) // WIDTH)
+        halves = np.frombuffer(data.tobytes(), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)), pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["doc_id", "toxic", "a", "b"])
+
+
+def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_sentences: int = SENTENCES) -> Model:
+    """A model of at most ``sample`` labelled rows that are not held out, those with the smallest hash of doc_id, and of about
+    ``most_sentences`` of their sentences. The driver sees counts of different strings and the evidence of documents, no text."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    joined = docs.select(docs["doc_id"], text_or_empty(docs).alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = joined.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").toArrow()
-    return fit(rows.column("text").to_pylist(), np.array(rows.column("toxic").to_pylist(), int) > 0)
+    chosen = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    joined = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = written(joined.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).withColumn("curve", F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(3)) == 0), "toxic-sample")
+    number = {(r.curve, r.toxic): r["count"] for r in rows.groupBy("curve", "toxic").count().collect()}
+    apart = min(number.get((True, y), 0) for y in (0, 1)) >= 8  # of few documents, all are for both
+    learnt = rows.where(~F.col("curve")) if apart else rows
+    n = [sum(number.get((c, y), 0) for c in ((False,) if apart else (False, True))) for y in (0, 1)]
+    if not all(n):
+        return fit(np.zeros((0, WIDTH), np.uint8), np.zeros(0), np.zeros(0), n[1], n[0])
+    own = written(learnt.select("doc_id", "toxic", "text").mapInArrow(_sentence_rows, "doc_id long, toxic int, place long, strings binary"), "toxic-sentences")
+    part = min(1.0, most_sentences / max(1, own.count()))
+    some = own.where(F.pmod(F.xxhash64("strings", "doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)))
+    each = some.select("doc_id", "toxic", "strings").mapInArrow(_string_rows, "doc_id long, toxic int, a long, b long").distinct()
+    counts = each.groupBy("a", "b").agg(F.sum("toxic").alias("ones"), F.sum(1 - F.col("toxic")).alias("zeros")).toArrow().sort_by([("a", "ascending"), ("b", "ascending")])
+    table = np.stack([counts.column("a").to_numpy(), counts.column("b").to_numpy()], 1).view(np.uint8).reshape(-1, WIDTH)
+    model = fit(table, counts.column("ones").to_numpy(), counts.column("zeros").to_numpy(), n[1], n[0])
+    del counts, table
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2, 1 << 20):
+            found = shared.value.evidence(*bytes_of(batch.column(2)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(found), pa.list_(pa.float64()))], ["doc_id", "toxic", "evidence"])
+
+    seen = (rows.where("curve") if apart else rows).select("doc_id", "toxic", "text").mapInArrow(evidence, "doc_id long, toxic int, evidence array<double>").toArrow().sort_by("doc_id")
+    model.slopes, model.shift = _curve(np.array(seen.column("evidence").to_pylist()), seen.column("toxic").to_numpy())
+    shared.destroy()
+    return model
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
