@@ -576,23 +576,104 @@ def test_passages_with_a_frequent_line(spark):
 
 
 def test_meetings_do_not_depend_on_batches():
-    import pyarrow as pa
-
-    from docloom.llm.passages import _meetings
+    from docloom.llm import passages as m
 
     rng = np.random.default_rng(12)
-    key = np.sort(rng.integers(0, 12, 150)) * 8 + 0
-    rows = sorted(zip(key.tolist(), rng.integers(0, 7, 150).tolist(), range(150)))
-    whole = [pa.array(np.array([r[j] for r in rows], t)) for j, t in ((0, np.int64), (1, np.int64), (2, np.int32), (2, np.int32), (2, np.int32))]
-    batch = pa.RecordBatch.from_arrays(whole, ["key", "doc_id", "c", "l", "r"])
-    for marks in (1, 3, None):
+    for level in (m.WINDOW, m.CLOSE):
+        key, doc, c = np.sort(rng.integers(0, 12, 150)), rng.integers(0, 7, 150), rng.integers(0, 50, 150)
+        flag = np.where(rng.random(150) < 0.02, m.HOT, 0)
+        table = m._ordered(m._row(key, doc, c, c - 3, c + 4, rng.integers(0, 3, 150), rng.integers(0, 3, 150), level | flag))
+        batch = m._batch(table)
         results = []
         for size in (150, 1, 2, 7):
-            out = _meetings(marks)(iter([batch.slice(k, size) for k in range(0, 150, size)]))
-            results.append(sorted((repr(r) for b in out for r in b.to_pylist())))
+            out = m._meetings(level)(iter([batch.slice(k, size) for k in range(0, 150, size)]))
+            results.append(sorted(repr(r) for b in out for r in b.to_pylist()))
         assert results[0] and all(r == results[0] for r in results)
 
 
+def test_meetings_of_few_documents_are_all_pairs_and_of_many_go_on():
+    from docloom.llm import passages as m
+
+    table = m._ordered(m._row(np.array([1, 1, 1, 2, 2, 2, 2, 2]), [5, 6, 9, 1, 2, 3, 4, 4], np.arange(8) + 50, np.arange(8), np.arange(8) + 90, np.full(8, 7), np.zeros(8, int), np.full(8, m.WINDOW)))
+    rows = [dict(zip(m._NAMES, x)) for b in m._meetings(m.WINDOW)(iter([m._batch(table)])) for x in zip(*(c.to_pylist() for c in b.columns))]
+    met = {(r["a"], r["key"]) for r in rows if r["rk"] & 7 == m.MET}
+    assert met == {(6, 5), (9, 5), (9, 6), (2, 1), (3, 1), (3, 2), (4, 1), (4, 3)}
+    assert sorted(r["a"] for r in rows if r["rk"] & 7 == m.CLOSE) == [1, 2, 3, 4, 4]  # each with the one context it has
+    local = m._settled_here(table)
+    kinds = collections.Counter((int(k) & 15) for t in local for k in t[3])
+    assert kinds[m.WINDOW] == 3 and kinds[m.WINDOW | m.HOT] == 1  # one row stands for all of the frequent key
+
+
+def test_regions_join_intervals_of_different_functions():
+    from docloom.llm import passages as m
+
+    def regions(*windows, least=10):
+        c, l, r, f, kind = (np.array(x) for x in zip(*windows))
+        table = m._ordered(m._row(np.full(len(c), 3), np.full(len(c), 8), c, l, r, c * 0, c * 0, kind | f << 4))
+        sizes = [len(c), 1, 2]
+        got = [[(r["a"], r["p"], r["low"], r["high"]) for b in m._regions(least)(iter([m._batch(table).slice(k, n) for k in range(0, len(c), n)])) for r in b.to_pylist()] for n in sizes]
+        assert got[0] == got[1] == got[2]
+        return got[0]
+
+    assert regions((20, 10, 40, 0, m.MET), (25, 15, 60, 1, m.MET)) == [(8, 3, 5, 50)]  # they agree on 15..40
+    assert regions((20, 10, 40, 0, m.MET), (25, 15, 60, 0, m.MET)) == []  # one function alone
+    assert regions((20, 10, 24, 0, m.MET), (25, 15, 60, 1, m.MET)) == []  # no subsequence holds both minima
+    assert regions((20, 10, 26, 0, m.MET), (25, 19, 60, 1, m.MET)) == []  # none of 10 or more does
+    assert regions((50, 45, 58, 2, m.MET_CLOSE)) == [(8, 3, 20, 80)]
+    # A nest of windows: the widest that has its minimum inside counts.
+    assert regions((30, 0, 900, 1, m.MET), (60, 31, 800, 1, m.MET), (90, 61, 120, 1, m.MET), (100, 50, 700, 0, m.MET)) == [(8, 3, 40, 710)]
+    assert regions((100, 0, 900, 1, m.MET), (100, 90, 109, 0, m.MET), (500, 490, 509, 0, m.MET)) == [(8, 3, 80, 119)]
+
+
+def test_passages_of_stock_phrases(spark):
+    """Exact and near copies all of whose words come from phrases that other documents use too."""
+    from docloom.llm.passages import repeated_passages
+
+    for size, phrases in ((12, 40), (20, 30), (30, 25)):
+        rng = random.Random(size)
+        stock = [words(rng, size) for _ in range(phrases)]
+        text = lambda n: list(itertools.chain(*(rng.choice(stock) for _ in range(n))))  # noqa: B023, E731
+        passage = text(-(-60 // size) + 1)[size // 3 :][:60]
+        texts = []
+        for k in range(300):
+            own = text(8)
+            at = rng.randrange(len(own))
+            texts.append(own[:at] + passage + own[at:] if k % 4 == 0 else own)
+        got = collections.defaultdict(set)
+        for r in repeated_passages(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)).collect():
+            got[r.doc_id].update(range(r.start, r.end))
+        first, need = {}, collections.defaultdict(set)
+        for k, t in enumerate(texts):
+            for a in range(len(t) - 49):
+                if first.setdefault(tuple(t[a : a + 50]), k) != k:
+                    need[k].update(range(a, a + 50))
+        assert len(need) > 70
+        missed = sum(len(need[k] - got[k]) for k in need)
+        assert missed <= 0.02 * sum(map(len, need.values())), (size, missed)
+
+
+def test_near_passages_against_all_pairs(spark):
+    """Passages with a Jaccard similarity of 0.8 to 0.95, by the definition."""
+    from docloom.llm.passages import repeated_passages
+
+    rng, rows, planted = random.Random(15), [], []
+    for k in range(150):
+        size = rng.randint(55, 140)
+        passage = words(rng, size)
+        copy = list(passage)
+        for at in rng.sample(range(5, size - 5), max(1, size // 60)):
+            copy[at] = "x" + copy[at] + str(k)
+        sets = [{tuple(t[j : j + 5]) for j in range(len(t) - 4)} for t in (passage, copy)]
+        if len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]):
+            planted.append((1000 + k, k, 20, 20 + size))
+        rows += [(k, " ".join(words(rng, 25) + passage + words(rng, 10))), (1000 + k, " ".join(words(rng, 20) + copy + words(rng, 30)))]
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r.doc_id, r.first_id) for r in got} <= {(d, p) for d, p, *_ in planted} | {(1000 + k, k) for k in range(150)}
+    spans = {(r.doc_id, r.first_id): (r.start, r.end) for r in got}
+    good = sum((d, p) in spans and spans[d, p][0] <= s + 5 and spans[d, p][1] >= e - 5 for d, p, s, e in planted)
+    assert len(planted) > 100 and good >= 0.95 * len(planted)
+
+
 def test_passages_with_insertions(spark):
     from docloom.llm.passages import _compared, repeated_passages
 
