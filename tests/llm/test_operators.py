@@ -503,17 +503,23 @@ def test_components(spark):
 
 
 def test_compact_windows_cover_every_subsequence():
-    from docloom.llm.passages import _all_windows, compact_windows
+    from docloom.llm.passages import compact_windows
 
     rng = np.random.default_rng(1)
-    for high in (3, 1000):
-        h = rng.integers(0, high, 60).astype(np.uint64)
-        windows = compact_windows(h, 10)
-        assert sorted(windows) == sorted(_all_windows(h, 10))
-        for i in range(60):
-            for j in range(i + 9, 60):
-                c = i + int(h[i : j + 1].argmin())
-                assert sum(a <= i and j <= b and k == c for a, k, b in windows) == 1
+    for high in (1, 3, 1000):
+        sizes = [0, 9, 10, 60, 3, 400, 11]
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        h = rng.integers(0, high, first[-1]).astype(np.uint64) + np.uint64(1)
+        windows = list(zip(*(x.tolist() for x in compact_windows(h, first, 10))))
+        assert len(windows) == len(set(windows)) and all(b - a + 1 >= 10 for a, _, b in windows)
+        for low, end in zip(first[:-1].tolist(), first[1:].tolist()):
+            for i in range(low, end):
+                for j in range(i + 9, min(end, i + 200), 1 if end - low < 100 else 7):
+                    c = i + int(h[i : j + 1].argmin())
+                    assert sum(a <= i and j <= b and k == c for a, k, b in windows) == 1
+    assert [len(x) for x in compact_windows(np.zeros(0, np.uint64), np.array([0]), 10)] == [0, 0, 0]
+    wide = np.arange(1000, 0, -1).astype(np.uint64)
+    assert list(zip(*(x.tolist() for x in compact_windows(wide, np.array([0, 1000]), 46)))) == [(0, c, c) for c in range(45, 1000)]
 
 
 def test_repeated_passages(spark, none):
