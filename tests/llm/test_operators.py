@@ -114,6 +114,50 @@ def test_warc_of_ids_far_apart(spark, tmp_path):
     assert sorted(r.page_id for r in warc.read_warc(manifest, folder).collect()) == ids
 
 
+def test_warc_of_large_ids_next_to_none(spark, tmp_path):
+    """Ids that no double holds, rows without id, one id of many rows, and copies of all of them."""
+    from docloom.llm import warc
+
+    rows = [((1 << 60) + k if k % 9 else None, f"u{k}", f"text {k % 70} " * 20) for k in range(400)] + [(77, f"v{k}", f"text {k % 70} " * 20) for k in range(150)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    manifest = warc.write_warc(pages, f"file://{tmp_path}/w", shard_bytes=3000)
+    got = warc.read_warc(manifest, f"file://{tmp_path}/w").collect()
+    assert len(got) == len(rows) and manifest.select("shard").distinct().count() > 15
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    best = {}
+    for r in rows:
+        best[r[2]] = max(best.get(r[2], r), r, key=order)
+    where = {(r.page_id, r.url): r for r in got}
+    for r in rows:
+        one, own = where[r[0], r[1]], best[r[2]] == r
+        assert (one.record_type, one.refers_to) == (("response", None) if own else ("revisit", best[r[2]][0])), r
+    # Every revisit names a record that is there.
+    named, ids = set(), {r.record_id for r in got}
+    for name in (r.name for r in manifest.collect()):
+        with open(f"{tmp_path}/w/{name}", "rb") as f:
+            fields = [x for x, _ in warc.records_of(f)]
+            assert fields[0]["WARC-Type"] == "warcinfo" and fields[0]["WARC-Filename"] == name
+            named |= {x["WARC-Refers-To"] for x in fields if x["WARC-Type"] == "revisit"}
+    assert named and named <= ids
+
+
+def test_warc_shards_of_many_clusters_are_small(spark):
+    from docloom.llm import warc
+
+    ids = [c * 10**15 + k for c in range(40) for k in range(100)] + [5] * 200
+    rows = spark.createDataFrame([(k, 1000) for k in ids] + [(None, 1000)] * 90, "page_id long, size long")
+    layout = warc._shards(rows, 10_000)
+    known = np.array(ids, np.int64)
+    mixed = np.random.default_rng(0).integers(-(1 << 62), 1 << 62, len(ids))
+    sizes = 1000 * np.bincount(layout.of(known, np.ones(len(ids), bool), mixed), minlength=layout.shards)
+    assert len(sizes) == layout.shards and layout.nulls == 9 and sizes[:9].sum() == 0
+    assert sizes.max() <= 25_000 and np.median(sizes[9:]) >= 5_000  # the one id of 200 rows is dealt by hash
+    order = np.argsort(known, kind="stable")
+    assert (np.diff(np.searchsorted(layout.upper, known[order])) >= 0).all()
+    nothing = warc._shards(rows.limit(0), 10_000)
+    assert nothing.shards == 1
+
+
 def test_warc_of_nothing(spark):
     from docloom.llm import warc
 
