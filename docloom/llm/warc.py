@@ -83,7 +83,7 @@ def _shards(rows: DataFrame, shard_bytes: int) -> Layout:
     low, high, total, nulls = rows.agg(F.min("page_id"), F.max("page_id"), F.sum("size"), F.sum(F.when(F.col("page_id").isNull(), F.col("size")))).first()
     target = max(shard_bytes, (total or 0) // 100_000)
     nulls = -(-nulls // target) if (nulls or 0) > target else 0
-    done, todo = [], [] if low is None else [(int(low), int(high))]
+    done, todo = [], [] if low is None or total <= target else [(int(low), int(high))]
     while todo:
         cells = max(4, 100_000 // len(todo)) if len(todo) > 1 else 4096
         lows, highs = (np.array(x, np.int64) for x in zip(*todo))
