@@ -1,9 +1,11 @@
-"""Text as column expressions: cleaning, hashing, counting, splitting. All of it stays in the JVM."""
+"""Text as column expressions: cleaning, hashing, counting, splitting. All stay in the JVM but the two that cut chunks one after the other."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -109,25 +111,42 @@ def section_tags(c: Column) -> Column:
 RUNNING_LINES = r"(?i)^(page [0-9]+( of [0-9]+)?|[0-9]+|confidential.*|draft.*|copyright.*|©.*|all rights reserved.*|internal use only.*)$"
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it, in lambdas of its own too."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def without_running_lines(c: Column, share: float = 0.1) -> Column:
     """Without page headers and footers: lines of the usual kinds that occur more than twice and on over ``share`` of all lines."""
-    every = lines(c)
-    filled = F.size(F.filter(every, lambda s: F.trim(s) != ""))
-    least = F.greatest(F.lit(2.0), F.lit(share) * filled)
-    often = lambda s: F.size(F.filter(every, lambda t: F.trim(t) == F.trim(s))) > least
-    return F.array_join(F.filter(every, lambda s: ~(F.trim(s).rlike(RUNNING_LINES) & often(s))), "\n")
+
+    def frequent(every: Column) -> Column:
+        """Different running lines that occur often enough, at most ``1 / share`` of them: from runs of equal ones in order."""
+        least = F.greatest(F.lit(2.0), F.lit(share) * F.size(F.filter(every, lambda s: F.trim(s) != "")))
+        runs = lambda held: F.filter(F.transform(held, lambda s, k: F.when((k == 0) | (F.get(held, k - 1) != s), k)), lambda k: k.isNotNull())
+
+        def long_runs(held: Column, heads: Column) -> Column:
+            sized = F.transform(heads, lambda h, j: F.struct(F.get(held, h).alias("s"), (F.coalesce(F.get(heads, j + 1), F.size(held)) - h).alias("n")))
+            return F.transform(F.filter(sized, lambda x: x["n"] > least), lambda x: x["s"])
+
+        held = F.sort_array(F.filter(F.transform(every, lambda s: F.trim(s)), lambda s: s.rlike(RUNNING_LINES)))
+        return bound(held, lambda held: bound(runs(held), lambda heads: long_runs(held, heads)))
+
+    left = lambda every, often: F.when(F.size(often) > 0, F.filter(every, lambda s: ~F.array_contains(often, F.trim(s)))).otherwise(every)
+    return F.array_join(bound(lines(c), lambda every: bound(frequent(every), lambda often: left(every, often))), "\n")
 
 
 def table_pipes(c: Column) -> Column:
     """Columns set apart by blanks, in two lines or more that follow each other, set apart by bars instead."""
-    every = lines(c)
     wide = lambda s: s.rlike(r"\S {2,}\S")
 
-    def one(s: Column, k: Column) -> Column:
-        near = wide(F.coalesce(F.get(every, k - 1), F.lit(""))) | wide(F.coalesce(F.get(every, k + 1), F.lit("")))
-        return F.when(wide(s) & near, F.regexp_replace(strip(s), r" {2,}", " | ")).otherwise(s)
+    def all_of(every: Column) -> Column:
+        def one(s: Column, k: Column) -> Column:
+            near = wide(F.coalesce(F.get(every, k - 1), F.lit(""))) | wide(F.coalesce(F.get(every, k + 1), F.lit("")))
+            return F.when(wide(s) & near, F.regexp_replace(strip(s), r" {2,}", " | ")).otherwise(s)
+
+        return F.transform(every, one)
 
-    return F.array_join(F.transform(every, one), "\n")
+    return F.array_join(bound(lines(c), all_of), "\n")
 
 
 def final_form(c: Column, newline: bool = True) -> Column:
@@ -171,55 +190,68 @@ def quality(c: Column, patterns: tuple[str, ...] = SUSPICIOUS) -> Column:
     return F.struct(F.when(F.length(c) == 0, 0.0).otherwise(F.greatest(score, F.lit(0.0))).alias("score"), suspicious.alias("suspicious"))
 
 
+def _window_ends(text: str, size: int, overlap: int, least: int) -> Iterator[tuple[int, int]]:
+    start, n = 0, len(text)
+    while n:
+        end = stop = min(start + size, n)
+        if stop < n and (blank := text.rfind(" ", start, stop) - start) > least:
+            end = start + blank
+        yield start, end
+        if end >= n:
+            return
+        start = max(end - overlap, start + 1)
+
+
 def fixed_chunks(c: Column, size: int = 1000, overlap: int = 100, least: int = 200) -> Column:
     """Windows of ``size`` characters as (index, start, end, content): a window ends at its last blank beyond ``least`` characters,
-    the next begins ``overlap`` before that end; the last ends with the text. Windows shorter than ``least`` go."""
-    n = F.length(c)
-
-    def step(done: Column, _: Column) -> Column:
-        start, finished = done["next"], done["over"]
-        stop = F.least(start + size, n)
-        window = F.substring(c, start + 1, stop - start)
-        blank = F.length(window) - F.locate(" ", F.reverse(window))
-        end = F.when((stop < n) & (F.locate(" ", window) > 0) & (blank > least), start + blank).otherwise(stop)
-        made = F.struct(start.alias("start"), end.alias("end"))
-        out = F.when(finished, done["out"]).otherwise(F.concat(done["out"], F.array(made)))
-        over = finished | (end >= n)
-        return F.struct(F.when(over, start).otherwise(F.greatest(end - overlap, start + 1)).alias("next"), over.alias("over"), out.alias("out"))
-
-    start = F.struct(F.lit(0).alias("next"), (n == 0).alias("over"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("out"))
-    most = F.when(n == 0, 1).otherwise(F.floor(n / max(1, least - overlap)) + 2).cast("int")
-    spans = F.aggregate(F.sequence(F.lit(1), most), start, step, lambda done: done["out"])
-    kept = F.filter(spans, lambda s: s["end"] - s["start"] >= least)
-    return F.transform(kept, lambda s, k: F.struct(k.alias("chunk_index"), s["start"].alias("start"), s["end"].alias("end"), F.substring(c, s["start"] + 1, s["end"] - s["start"]).alias("content")))
+    the next begins ``overlap`` before that end; the last ends with the text. Windows shorter than ``least`` go.
+
+    Over Arrow batches: each window depends on the one before, which expressions can only fold by copying what they have so far.
+    """
+    kind = pa.list_(pa.struct([("chunk_index", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("content", pa.string())]))
+
+    @F.arrow_udf("array<struct<chunk_index:int,start:int,end:int,content:string>>")
+    def cut(texts: pa.Array) -> pa.Array:
+        def of(text: str | None) -> list[tuple] | None:
+            kept = [(a, b) for a, b in _window_ends(text, size, overlap, least) if b - a >= least] if text is not None else None
+            return kept and [(k, a, b, text[a:b]) for k, (a, b) in enumerate(kept)]
+
+        return pa.array([of(x.as_py()) for x in texts], kind)
+
+    return cut(c)
+
+
+def _packed(sized: list[tuple[str, int]], most: int, least: int, overlap: int) -> Iterator[tuple[list[str], int]]:
+    held: list[tuple[str, int]] = []
+    total = 0
+    for s, n in sized:
+        if held and total + n > most:
+            if total >= least:
+                yield [x for x, _ in held], total
+            kept = total = 0
+            while kept < len(held) and total + held[-1 - kept][1] <= overlap:
+                total += held[-1 - kept][1]
+                kept += 1
+            held = held[len(held) - kept :]
+        held.append((s, n))
+        total += n
+    if total >= least:
+        yield [x for x, _ in held], total
 
 
 def sentence_chunks(c: Column, most: int = 256, least: int = 100, overlap: int = 30) -> Column:
     """Whole sentences packed into chunks of up to ``most`` words, as (index, content, words): a chunk of fewer than ``least`` words
     goes, and each begins with the sentences of up to ``overlap`` words that end the one before."""
-    sized = F.transform(sentences(c), lambda s: F.struct(s.alias("s"), F.size(words(s)).alias("n")))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, s: x + s["n"])
+    kind = pa.list_(pa.struct([("chunk_index", pa.int32()), ("content", pa.string()), ("words", pa.int64())]))
 
-    def tail(held: Column) -> Column:
-        kind = "struct<n:int,out:array<struct<s:string,n:int>>,open:boolean>"
-        empty = F.expr(f"cast(named_struct('n', 0, 'out', array(), 'open', true) as {kind})")
+    @F.arrow_udf("array<struct<chunk_index:int,content:string,words:bigint>>")
+    def packed(sized: pa.Array) -> pa.Array:
+        def of(rows: list[dict] | None) -> list[tuple] | None:
+            return None if rows is None else [(k, " ".join(x), n) for k, (x, n) in enumerate(_packed([(r["s"], r["n"]) for r in rows], most, least, overlap))]
 
-        def back(x: Column, s: Column) -> Column:
-            fits = x["open"] & (x["n"] + s["n"] <= overlap)
-            return F.struct(F.when(fits, x["n"] + s["n"]).otherwise(x["n"]).alias("n"), F.when(fits, F.concat(F.array(s), x["out"])).otherwise(x["out"]).alias("out"), fits.alias("open"))
+        return pa.array([of(x.as_py()) for x in sized], kind)
 
-        return F.aggregate(F.reverse(held), empty, back, lambda x: x["out"])
-
-    def step(x: Column, s: Column) -> Column:
-        full = (F.size(x["held"]) > 0) & (total(x["held"]) + s["n"] > most)
-        flushed = F.when(full & (total(x["held"]) >= least), F.concat(x["out"], F.array(x["held"]))).otherwise(x["out"])
-        held = F.when(full, F.concat(tail(x["held"]), F.array(s))).otherwise(F.concat(x["held"], F.array(s)))
-        return F.struct(held.alias("held"), flushed.alias("out"))
-
-    kind = "struct<held:array<struct<s:string,n:int>>,out:array<array<struct<s:string,n:int>>>>"
-    start = F.expr(f"cast(named_struct('held', array(), 'out', array()) as {kind})")
-    chunks = F.aggregate(sized, start, step, lambda x: F.when(total(x["held"]) >= least, F.concat(x["out"], F.array(x["held"]))).otherwise(x["out"]))
-    return F.transform(chunks, lambda a, k: F.struct(k.alias("chunk_index"), F.array_join(F.transform(a, lambda s: s["s"]), " ").alias("content"), total(a).cast("long").alias("words")))
+    return packed(F.transform(sentences(c), lambda s: F.struct(s.alias("s"), F.size(words(s)).alias("n"))))
 
 
 def terms(c: Column) -> Column:

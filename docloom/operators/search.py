@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text
+from docloom.plumbing import fresh_path, written
 
 #: Queries that are sent to the executors at once.
 BLOCK = 8192
 METRICS = ("cosine", "ip", "l2")
+#: White space as text.SPACE has it: the Unicode property White_Space.
+_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def _scores(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
@@ -30,22 +34,30 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _blocks(queries: DataFrame, corpus: DataFrame, block: int, scan) -> list[DataFrame]:
-    """For each block of queries what ``scan`` makes of the rows of ``corpus`` that have a vector.
+def _blocks(queries: DataFrame, corpus: DataFrame, block: int, scan) -> DataFrame:
+    """What ``scan`` makes of the rows of ``corpus`` that have a vector, for one block of queries after the other.
 
     ``scan`` gets (ids, matrix) of a block, and batches of rows. A block goes to the driver and is sent out; its size is fixed.
+    Of several, each is done and written before the next, so the driver never holds more than one.
     """
-    spark = corpus.sparkSession
+    spark, schema = corpus.sparkSession, "query_id long, vec_id long, score double"
     have = lambda df: df.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), "embedding")
     asked, rows = have(queries), have(corpus)
-    blocks, out = max(1, -(-asked.count() // block)), []
+    blocks = max(1, -(-asked.count() // block))
+    if blocks > 1:
+        asked = written(asked, "queries")
+    path = fresh_path(spark, "nearest") if blocks > 1 else None
     for number in range(blocks):
         own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == number) if blocks > 1 else asked
         held = own.toArrow().combine_chunks()
         q = _matrix(held.column(1).combine_chunks()) if held.num_rows else np.zeros((0, 1))
         shared = spark.sparkContext.broadcast((held.column(0).to_numpy(), q))
-        out.append(rows.mapInArrow(lambda batches, shared=shared: scan(*shared.value, batches), "query_id long, vec_id long, score double"))
-    return out
+        part = rows.mapInArrow(lambda batches, shared=shared: scan(*shared.value, batches), schema)
+        if blocks == 1:
+            return part
+        part.write.mode("append").parquet(path)
+        shared.destroy()
+    return spark.read.schema(schema).parquet(path)
 
 
 def _tiles(batches: Iterator[pa.RecordBatch], size: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -75,8 +87,7 @@ def similar(queries: DataFrame, corpus: DataFrame, least: float | None = None, m
             if len(a):
                 yield _rows(ids[a], c[b], s[a, b])
 
-    parts = _blocks(queries, corpus, block, scan)
-    return reduce(DataFrame.unionByName, parts)
+    return _blocks(queries, corpus, block, scan)
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", *, skip_own: bool = True, block: int = BLOCK) -> DataFrame:
@@ -103,37 +114,65 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine
         if good.any():
             yield _rows(np.broadcast_to(ids[:, None], best_s.shape)[good], best_c[good], sign * best_s[good])
 
-    parts = _blocks(queries, corpus, block, scan)
     order = F.col("score").asc() if metric == "l2" else F.col("score").desc()
     w = Window.partitionBy("query_id").orderBy(order, "vec_id")
-    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return _blocks(queries, corpus, block, scan).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int | None = 20, *, variant: str = "okapi", k1: float | None = None, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+def postings(docs: DataFrame) -> DataFrame:
+    """doc_id, dl (terms of the document), term and tf of ``docs`` (doc_id, text), written once: the only time its texts are split.
+
+    Terms are counted within each document as it passes, so nothing is shuffled. Null texts have no terms.
+    """
+    names, types = ["doc_id", "dl", "term", "tf"], [pa.int64(), pa.int32(), pa.string(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            doc, dl, term, tf = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(doc, types[0]), pa.array(dl, types[1]), pa.array(term, types[2]), pa.array(tf, types[3])], names)
+
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc, lower in zip(batch.column(0).to_pylist(), batch.column(1)):
+                counts = Counter(filter(None, _SPACE.split(lower.as_py())))
+                dl = sum(counts.values())
+                rows += [(doc, dl, term, n) for term, n in counts.items()]
+                if len(rows) > 100_000:
+                    yield made(rows)
+                    rows = []
+            if rows:
+                yield made(rows)
+
+    known = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
+    return written(known.mapInArrow(run, "doc_id long, dl int, term string, tf int"), "postings")
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int | None = 20, *, variant: str = "okapi", k1: float | None = None, b: float = 0.75, epsilon: float = 0.25, index: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, score and rank of the ``k`` best documents with a positive score for each query, of all of them if ``k`` is None.
 
     ``queries`` has query_id and text, ``docs`` doc_id and text. ``okapi``: idf = ln(N - n + .5) - ln(n + .5), and terms of more
     than half of the documents get ``epsilon`` times the mean idf; ``lucene``: ln(1 + (N - n + .5) / (n + .5)). A term counts as
-    often as the query has it. Only terms of queries reach the join; document frequencies are combined before the shuffle.
+    often as the query has it. ``index``: the ``postings`` of ``docs``, where they are at hand. Texts are split once; only
+    postings of asked terms reach the join, and tasks drop what can't be among a query's best ``k`` before ranks are given.
     """
     k1 = k1 if k1 is not None else 1.5 if variant == "okapi" else 1.2
-    split = docs.select("doc_id", text.terms(F.coalesce("text", F.lit(""))).alias("w"))
-    n, mean = split.agg(F.count("*"), F.avg(F.size("w"))).first()
-    if not n or not mean:
+    held = index if index is not None else postings(docs)
+    n, total = docs.count(), held.agg(F.sum("tf")).first()[0]
+    if not n or not total:
         return docs.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
+    mean = total / n
     asked = queries.select("query_id", F.explode(text.terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    df = split.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
     if variant == "okapi":
+        df = written(df, "document-frequencies")
         idf = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
         average = df.agg(F.avg(idf)).first()[0]
         idf = F.when(idf < 0, F.lit(epsilon * average)).otherwise(idf)
     else:
         idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = asked.join(df, "term").select("query_id", "term", (F.col("times") * idf).alias("weight"))
-    wanted = asked.select("term").distinct()
-    tf = split.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean))
-    scores = tf.join(weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
+    scores = held.join(weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     ranked = scores.withColumn("rank", F.row_number().over(w))
     return ranked if k is None else ranked.where(F.col("rank") <= k)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,6 +10,7 @@ from docloom.functions import text as t
 from docloom.functions.vectors import cosine as cos
 from docloom.operators import catalog, chunking
 from docloom.operators import context as c
+from docloom.plumbing import fresh_path
 from docloom.sources import files
 from docloom.streaming import alerts
 
@@ -23,10 +21,7 @@ from .retrieval_queries import docs, texts, vectors
 from .text_queries import html_sql
 
 
-def shared(spark, name: str) -> str:
-    """A fresh folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="docloom-")
-    return f"{root.rstrip('/')}/docloom/{name}-{uuid.uuid4().hex}"
+shared = fresh_path
 
 
 @query(r"SELECT doc_id, 'chunk_' || CAST(k - 1 AS INTEGER) AS chunk_id, s AS content FROM (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS k FROM (SELECT doc_id, string_split(text, '. ')[1:10] AS p FROM documents)) WHERE length(s) > 20")

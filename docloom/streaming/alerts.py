@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.plumbing import fresh_path
+
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 16) -> DataFrame:
     """Events that arrive as Parquet files in the folder ``path`` (or as one file), with ts as a timestamp. The number of files
@@ -77,8 +77,7 @@ def routed(alerts: DataFrame, sinks: dict[str, Callable[[DataFrame], None]], cha
 def gathered(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All rows of a stream over files that are there already, through a written table that driver and executors share."""
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="docloom-")
-    folder = f"{shared.rstrip('/')}/docloom/stream-{uuid.uuid4().hex}"
+    folder = fresh_path(spark, "stream")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}-state").trigger(availableNow=True)
     keep = "overwrite" if mode == "complete" else "append"
     query = writer.foreachBatch(lambda batch, _: batch.write.mode(keep).parquet(folder)).start()

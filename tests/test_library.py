@@ -210,3 +210,30 @@ def test_the_entry_without_the_corpus_operators(spark):
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
+
+
+def test_long_texts_take_linear_time(spark):
+    """One text of a million characters, of which most lines are page numbers: what took minutes when it was quadratic."""
+    import time
+
+    body = "\n".join(f"Page {k % 40}" if k % 3 else f"line {k} of it  with some  words. And more" for k in range(60_000))
+    assert len(body) > 1_000_000
+    df = spark.createDataFrame([(body,)], "c string")
+    for change in (text.fixed_chunks, text.sentence_chunks, text.without_running_lines, text.table_pipes, text.preprocess):
+        began = time.perf_counter()
+        got = df.select(change(F.col("c")).alias("x")).first().x
+        assert len(got) > 500 and time.perf_counter() - began < 30, change.__name__
+
+
+def test_running_lines_against_counts(spark):
+    import collections
+    import random
+
+    rng = random.Random(3)
+    for _ in range(20):
+        every = [rng.choice(["Page 1", " Page 1 ", "page 2", "7", "text", "", "Draft x", f"own {rng.random()}"]) for _ in range(rng.randint(0, 60))]
+        counts = collections.Counter(x.strip(" ") for x in every)
+        least = max(2.0, 0.1 * sum(x.strip(" ") != "" for x in every))
+        runs = ("page 1", "page 2", "7", "draft x")
+        want = [x for x in every if not (x.strip(" ").lower() in runs and counts[x.strip(" ")] > least)]
+        assert one(spark, "\n".join(every), text.without_running_lines) == "\n".join(want)
