@@ -62,3 +62,22 @@ def document_hash(chunks: DataFrame) -> DataFrame:
 
 def file_name(source: Column, doc_id: Column, extension: Column) -> Column:
     return F.concat(source, F.lit("_"), doc_id.cast("string"), extension)
+
+
+def indexed(documents: DataFrame, stored: DataFrame, chunks: DataFrame, *, overwrite: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Indexes ``chunks`` (doc_id, chunk_index, content) into ``documents`` (doc_id, doc_hash, total_chunks) and ``stored`` (like chunks).
+
+    Returns both as they are afterwards, and doc_id, doc_hash, total_chunks and skipped of each document that came. One whose hash
+    is stored already is skipped. With ``overwrite`` none is, and what was stored of a document goes first; otherwise a chunk
+    takes the place of the one with its index. Rows without doc_id, index or content are refused.
+    """
+    wrong = chunks.where("doc_id is null or chunk_index is null or content is null").count()
+    if wrong:
+        raise ValueError(f"{wrong} chunks lack doc_id, chunk_index or content")
+    came = document_hash(chunks).join(chunks.groupBy("doc_id").agg(F.count("*").alias("total_chunks")), "doc_id")
+    flags = reindex_flags(documents, came).select("doc_id", (F.col("skip") & F.lit(not overwrite)).alias("skipped"))
+    result = came.join(flags, "doc_id")
+    anew = result.where("not skipped").select("doc_id", "doc_hash", "total_chunks")
+    new = chunks.join(anew.select("doc_id"), "doc_id", "left_semi")
+    left = deleted(stored, anew, "doc_id") if overwrite else stored.join(new.select("doc_id", "chunk_index"), ["doc_id", "chunk_index"], "left_anti")
+    return upserted(documents, anew, "doc_id"), left.unionByName(new), result

@@ -8,14 +8,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text
-from docloom.plumbing import fresh_path, written
+from docloom.plumbing import fresh_path, spread, written
 
 #: Queries that are sent to the executors at once.
 BLOCK = 8192
+#: Queries whose term weights are.
+SPARSE_BLOCK = 1024
 METRICS = ("cosine", "ip", "l2")
 #: White space as text.SPACE has it: the Unicode property White_Space.
 _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -120,49 +123,94 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """doc_id, dl (terms of the document), term and tf of ``docs`` (doc_id, text), written once: the only time its texts are split.
-
-    Terms are counted within each document as it passes, so nothing is shuffled. Null texts have no terms.
-    """
-    names, types = ["doc_id", "dl", "term", "tf"], [pa.int64(), pa.int32(), pa.string(), pa.int32()]
+    """doc_id, dl (terms of the document), its different terms and their tfs, for each row of ``docs`` (doc_id, text), written once:
+    the only time its texts are split. Terms are counted as a document passes, so nothing is shuffled. Null texts have no row."""
+    types = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(rows: list[tuple]) -> pa.RecordBatch:
-            doc, dl, term, tf = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array(doc, types[0]), pa.array(dl, types[1]), pa.array(term, types[2]), pa.array(tf, types[3])], names)
-
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, lower in zip(batch.column(0).to_pylist(), batch.column(1)):
-                counts = Counter(filter(None, _SPACE.split(lower.as_py())))
-                dl = sum(counts.values())
-                rows += [(doc, dl, term, n) for term, n in counts.items()]
-                if len(rows) > 100_000:
-                    yield made(rows)
-                    rows = []
-            if rows:
-                yield made(rows)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                counts = [Counter(filter(None, _SPACE.split(x.as_py()))) for x in part.column(1)]
+                columns = [part.column(0), [sum(c.values()) for c in counts], [list(c) for c in counts], [list(c.values()) for c in counts]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], ["doc_id", "dl", "terms", "tfs"])
 
     known = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
-    return written(known.mapInArrow(run, "doc_id long, dl int, term string, tf int"), "postings")
+    return written(spread(known).mapInArrow(run, "doc_id long, dl int, terms array<string>, tfs array<int>"), "postings")
+
 
+def _sparse_scores(weights: pa.Table, k: int | None, k1: float, b: float, mean: float):
+    """What a task makes of its postings for one block of queries: the ``k`` best documents of each, or all with a positive score.
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int | None = 20, *, variant: str = "okapi", k1: float | None = None, b: float = 0.75, epsilon: float = 0.25, index: DataFrame | None = None) -> DataFrame:
+    A tile of documents becomes a matrix of its scores with all queries of the block; nothing larger is held."""
+    ids, query = np.unique(weights.column("query_id").to_numpy(), return_inverse=True)
+    terms = weights.column("term").combine_chunks().dictionary_encode()
+    order = np.argsort(terms.indices.to_numpy(), kind="stable")
+    first = np.searchsorted(terms.indices.to_numpy()[order], np.arange(len(terms.dictionary) + 1))
+    query, weight, known = query[order], weights.column("weight").to_numpy()[order], terms.dictionary
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            place = pc.index_in(batch.column(2).flatten(), value_set=known).fill_null(-1).to_numpy()
+            held = np.flatnonzero(place >= 0)
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(2)).to_numpy())[held]
+            term, tf = place[held], batch.column(3).flatten().to_numpy()[held]
+            dl = batch.column(1).to_numpy()[row]
+            value = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))
+            fan = first[term + 1] - first[term]
+            ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            work = np.concatenate([[0], np.cumsum(fan)])[ends]
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, min(at + max(1, (1 << 21) // len(ids)), int(np.searchsorted(work, work[at] + (1 << 21)))))
+                to = min(to, batch.num_rows)
+                part = slice(ends[at], ends[to])
+                pick = np.repeat(first[term[part]] - np.cumsum(fan[part]) + fan[part], fan[part]) + np.arange(fan[part].sum())
+                code = np.repeat(row[part] - at, fan[part]) * len(ids) + query[pick]
+                sums = np.bincount(code, weight[pick] * np.repeat(value[part], fan[part]), (to - at) * len(ids))
+                yield batch.column(0).to_numpy()[at:to], np.round(sums.reshape(to - at, len(ids)), 9)
+                at = to
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(q: np.ndarray, docs: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(docs), pa.array(scores)], ["query_id", "doc_id", "score"])
+
+        best_s, best_d = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+        for docs, scores in tiles(batches):
+            if k is None:
+                d, q = np.nonzero(scores > 0)
+                yield made(q, docs[d], scores[d, q])
+                continue
+            best_s, best_d = np.hstack([best_s, scores.T]), np.hstack([best_d, np.broadcast_to(docs, (len(ids), len(docs)))])
+            if best_s.shape[1] > 4 * k + 256:
+                order = np.lexsort((best_d, -best_s), axis=1)[:, :k]
+                best_s, best_d = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_d, order, 1)
+        if k is not None and best_s.shape[1]:
+            order = np.lexsort((best_d, -best_s), axis=1)[:, :k]
+            q, place = np.nonzero(np.take_along_axis(best_s, order, 1) > 0)
+            at = order[q, place]
+            yield made(q, best_d[q, at], best_s[q, at])
+
+    return scan
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int | None = 20, *, variant: str = "okapi", k1: float | None = None, b: float = 0.75, epsilon: float = 0.25, index: DataFrame | None = None, block: int = SPARSE_BLOCK) -> DataFrame:
     """query_id, doc_id, score and rank of the ``k`` best documents with a positive score for each query, of all of them if ``k`` is None.
 
     ``queries`` has query_id and text, ``docs`` doc_id and text. ``okapi``: idf = ln(N - n + .5) - ln(n + .5), and terms of more
     than half of the documents get ``epsilon`` times the mean idf; ``lucene``: ln(1 + (N - n + .5) / (n + .5)). A term counts as
-    often as the query has it. ``index``: the ``postings`` of ``docs``, where they are at hand. Texts are split once; only
-    postings of asked terms reach the join, and tasks drop what can't be among a query's best ``k`` before ranks are given.
+    often as the query has it. ``index``: the ``postings`` of ``docs``, where they are at hand. Texts are split once. The weights of
+    a block of queries, whose number is fixed, are sent out; tasks score their documents in place and shuffle k rows a query.
     """
     k1 = k1 if k1 is not None else 1.5 if variant == "okapi" else 1.2
+    spark, schema = docs.sparkSession, "query_id long, doc_id long, score double"
     held = index if index is not None else postings(docs)
-    n, total = docs.count(), held.agg(F.sum("tf")).first()[0]
+    n, total = docs.count(), held.agg(F.sum("dl")).first()[0]
     if not n or not total:
-        return docs.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
+        return spark.createDataFrame([], f"{schema}, rank int")
     mean = total / n
-    asked = queries.select("query_id", F.explode(text.terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.explode(text.terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    df = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     if variant == "okapi":
         df = written(df, "document-frequencies")
         idf = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
@@ -170,9 +218,23 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int | None = 20, *, variant: st
         idf = F.when(idf < 0, F.lit(epsilon * average)).otherwise(idf)
     else:
         idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = asked.join(df, "term").select("query_id", "term", (F.col("times") * idf).alias("weight"))
-    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean))
-    scores = held.join(weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
+    weights = written(asked.join(df, "term").select("query_id", "term", (F.col("times") * idf).alias("weight")), "query-weights")
+    blocks = max(1, -(-weights.select("query_id").distinct().count() // block))
+    path = fresh_path(spark, "sparse-scores")
+    scores = None
+    for number in range(blocks):
+        own = weights.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).toArrow()
+        if not own.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast(own)
+        part = held.select("doc_id", "dl", "terms", "tfs").mapInArrow(lambda batches, shared=shared: _sparse_scores(shared.value, k, k1, b, mean)(batches), schema)
+        if blocks > 1:
+            part.write.mode("append").parquet(path)
+            shared.destroy()
+            part = spark.read.schema(schema).parquet(path)
+        scores = part
+    if scores is None:
+        return spark.createDataFrame([], f"{schema}, rank int")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     ranked = scores.withColumn("rank", F.row_number().over(w))
     return ranked if k is None else ranked.where(F.col("rank") <= k)

@@ -100,11 +100,12 @@ def scan_txt(spark, d):
     return f.text_files(rows).select(F.col("path").cast("long").alias("doc_id"), "encoding", "line_count", "word_count")
 
 
-@query("SELECT d.doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM documents o WHERE o.doc_id <> d.doc_id AND substr(sha256(o.text), 1, 8) = substr(sha256(d.text), 1, 8))")
+@query("SELECT doc_id FROM (SELECT doc_id, count(*) OVER (PARTITION BY sha256(text)) AS n FROM documents WHERE text IS NOT NULL) WHERE n > 1")
 def check_duplicate(spark, d):
-    short = table(spark, d, "documents").select("doc_id", F.substring(F.sha2("text", 256), 1, 8).alias("h"))
-    again = short.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    return short.join(again, "h", "left_semi").select("doc_id")
+    """Documents whose whole content another one has, by the full digest; a prefix of it serves for names only."""
+    whole = table(spark, d, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("h"))
+    again = whole.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    return whole.join(again, "h", "left_semi").select("doc_id")
 
 
 @query("SELECT event_id AS file_id FROM events WHERE ts < TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 24 HOUR")
@@ -136,13 +137,13 @@ def _archive() -> bytes:
     return out.getvalue()
 
 
-@query()
+@query("SELECT 'm.eml' AS path, '.eml' AS extension, 'Subject: Hello' || chr(10) || 'Body line' AS text, NULL AS error")
 def scan_eml(spark, d):
     rows = spark.createDataFrame([("m.eml", bytearray(_mail()))], "path string, content binary")
     return f.parsed(rows.select("path", F.col("path").alias("name"), F.octet_length("content").alias("size"), F.lit(".eml").alias("extension"), "content"))
 
 
-@query()
+@query("SELECT path, name, extension, CAST(size AS BIGINT) AS size, error FROM (VALUES ('z.zip', 'a.txt', '.txt', 3, NULL), ('z.zip', 'sub/b.eml', '.eml', 3, NULL), ('z.zip', 'c.exe', '.exe', 2, 'dangerous')) AS t(path, name, extension, size, error)")
 def scan_zip(spark, d):
     rows = spark.createDataFrame([("z.zip", bytearray(_archive()))], "path string, content binary").withColumn("extension", F.lit(".zip"))
     return f.unzipped(rows).select("path", "name", "extension", "size", "error")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("text", "retrieval", "context", "answers", "catalog", "metrics", "files", "stream", "more")
+_MODULES = ("text", "retrieval", "context", "answers", "catalog", "metrics", "files", "stream", "more", "hooks")
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:

@@ -86,7 +86,10 @@ def embed_hash(spark, d):
     return docs(spark, d).select("doc_id", F.transform(v.hashed(F.col("text")), lambda x: F.round(x, 6)).alias("embedding"))
 
 
-@query()
+HALF = "list_transform(embedding::DOUBLE[], lambda x: CASE WHEN x = 0 THEN 0 ELSE round_even(x * 2 ** (10 - floor(log2(abs(x)))), 0) / 2 ** (10 - floor(log2(abs(x)))) END)"
+
+
+@query(f"SELECT vec_id, half, round(list_cosine_similarity(embedding::DOUBLE[], half), 6) AS kept FROM (SELECT *, {HALF} AS half FROM embeddings)")
 def vec_fp16(spark, d):
     half = v.halved(F.col("embedding"))
     return vectors(spark, d).select("vec_id", half.alias("half"), F.round(v.cosine(F.col("embedding"), half), 6).alias("kept"))
@@ -209,12 +212,6 @@ def filter_early_exit(spark, d):
     return _scores(spark).withColumn("top", top).where("top < 0.65 or score >= 0.65").drop("top")
 
 
-@query(f"SELECT query_id, id, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id // 2 ORDER BY score DESC, id) AS r FROM {SCORES_SQL}) WHERE r <= 1")
-def rerank_batch(spark, d):
-    w = Window.partitionBy("query_id", F.expr("id div 2")).orderBy(F.col("score").desc(), "id")
-    return _scores(spark).withColumn("r", F.row_number().over(w)).where("r <= 1").drop("r")
-
-
 @query(f"SELECT query_id, id, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS r FROM {SCORES_SQL}) WHERE r <= 2")
 def rerank_fallback(spark, d):
     w = Window.partitionBy("query_id").orderBy("id")

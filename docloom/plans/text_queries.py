@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as t
 
+from docloom.plumbing import spread
+
 from .registry import query, table, values
 
 docs = lambda spark, d: table(spark, d, "documents")
@@ -78,12 +80,12 @@ SENTENCES = r"list_filter(list_transform(list_concat(regexp_extract_all({0}, '[^
 
 @query(f"SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS pos, unnest(s) AS sentence FROM (SELECT doc_id, {SENTENCES.format('text')} AS s FROM documents)")
 def sent_split(spark, d):
-    return docs(spark, d).select("doc_id", F.posexplode(t.sentences(F.col("text"))).alias("pos", "sentence"))
+    return spread(docs(spark, d)).select("doc_id", F.posexplode(t.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
 @query(r"SELECT doc_id, regexp_replace(regexp_replace(translate(regexp_replace(text, '[\x00-\x08\x0E-\x1F\x7F]', '', 'g'), '|01', 'IOl'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents")
 def ocr_clean(spark, d):
-    return docs(spark, d).select("doc_id", t.ocr_clean(F.col("text")).alias("text"))
+    return spread(docs(spark, d)).select("doc_id", t.ocr_clean(F.col("text")).alias("text"))
 
 
 @query(f"SELECT page_id, {html_sql('html')} AS text FROM pages")
@@ -106,7 +108,7 @@ def preprocess_text(spark, d):
 
 @query(f"SELECT doc_id, {PREPROCESS} AS text FROM (SELECT doc_id, text AS c FROM documents)")
 def preprocess_documents(spark, d):
-    return docs(spark, d).select("doc_id", t.preprocess(F.col("text")).alias("text"))
+    return spread(docs(spark, d)).select("doc_id", t.preprocess(F.col("text")).alias("text"))
 
 
 # Lines that the tables do not have, for the steps that look for them.
@@ -170,7 +172,7 @@ def final_cleanup(spark, d):
 
 @query("SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, trim(unnest(l)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
 def text_line_stream(spark, d):
-    return docs(spark, d).select("doc_id", F.posexplode(t.lines(F.col("text"))).alias("pos", "line")).withColumn("line", F.trim("line"))
+    return spread(docs(spark, d)).select("doc_id", F.posexplode(t.lines(F.col("text"))).alias("pos", "line")).withColumn("line", F.trim("line"))
 
 
 ONE_LINE = STRIP.format(r"regexp_replace({c}, '\s+', ' ', 'g')")
@@ -178,7 +180,7 @@ ONE_LINE = STRIP.format(r"regexp_replace({c}, '\s+', ' ', 'g')")
 
 @query(f"SELECT doc_id, CASE WHEN regexp_matches(x, '{RUNNING}') OR length(x) < 3 THEN '' ELSE x END AS text FROM (SELECT doc_id, {ONE_LINE.format(c='text')} AS x FROM documents)")
 def parser_clean(spark, d):
-    return docs(spark, d).select("doc_id", t.parsed(F.col("text")).alias("text"))
+    return spread(docs(spark, d)).select("doc_id", t.parsed(F.col("text")).alias("text"))
 
 
 RE2_SUSPICIOUS = (r"[^\p{L}\p{N}\p{M}_\s]{3,}", r"[0-9]{4,}")
@@ -195,13 +197,13 @@ def _quality_sql() -> str:
 @query(_quality_sql())
 def text_quality(spark, d):
     q = t.quality(F.col("text"), RE2_SUSPICIOUS)
-    return docs(spark, d).select("doc_id", q.alias("q")).select("doc_id", F.round("q.score", 6).alias("score"), "q.suspicious")
+    return spread(docs(spark, d)).select("doc_id", q.alias("q")).select("doc_id", F.round("q.score", 6).alias("score"), "q.suspicious")
 
 
 @query()
 def text_quality_default(spark, d):
     q = t.quality(F.col("text"))
-    return docs(spark, d).select("doc_id", q.alias("q")).select("doc_id", F.round("q.score", 6).alias("score"), "q.suspicious")
+    return spread(docs(spark, d)).select("doc_id", q.alias("q")).select("doc_id", F.round("q.score", 6).alias("score"), "q.suspicious")
 
 
 FIXED_SQL = """
@@ -221,12 +223,12 @@ FROM walk WHERE k > 0 AND stop - start >= 200
 
 @query(FIXED_SQL)
 def chunk_fixed(spark, d):
-    return docs(spark, d).select("doc_id", F.explode(t.fixed_chunks(F.col("text"))).alias("x")).select("doc_id", "x.chunk_index", F.col("x.start").alias("start_char"), F.col("x.end").alias("end_char"), "x.content")
+    return spread(docs(spark, d)).select("doc_id", F.explode(t.fixed_chunks(F.col("text"))).alias("x")).select("doc_id", "x.chunk_index", F.col("x.start").alias("start_char"), F.col("x.end").alias("end_char"), "x.content")
 
 
 @query()
 def chunk_sentence(spark, d):
-    return docs(spark, d).select("doc_id", F.explode(t.sentence_chunks(F.col("text"))).alias("x")).select("doc_id", "x.*")
+    return spread(docs(spark, d)).select("doc_id", F.explode(t.sentence_chunks(F.col("text"))).alias("x")).select("doc_id", "x.*")
 
 
 @query(r"SELECT doc_id, w AS term, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS w FROM documents) GROUP BY ALL")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Extensions that are read, those that never are, and the largest file in bytes.
 SUPPORTED = (".pdf", ".docx", ".txt", ".eml", ".html", ".htm", ".zip")
-DANGEROUS = (".exe", ".bat", ".cmd", ".scr", ".com", ".pif", ".vbs", ".js", ".jar", ".msi")
+DANGEROUS = (".exe", ".bat", ".cmd", ".com", ".pif", ".scr", ".vbs", ".js", ".jar", ".msi", ".dmg", ".app", ".sh", ".py", ".php", ".asp", ".aspx", ".jsp")  # fixed values
 MOST_BYTES = 50 << 20
 #: What each extension should hold.
 MIME = {".pdf": "application/pdf", ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", ".txt": "text/plain", ".eml": "message/rfc822", ".html": "text/html", ".htm": "text/html", ".zip": "application/zip"}
