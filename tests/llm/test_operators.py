@@ -243,6 +243,32 @@ def test_exact_dedup(docs, collide):
         assert kept_rows(docs).count() == len(groups) and kept_rows(docs).columns == docs.columns
 
 
+def test_exact_dedup_in_small_batches(docs):
+    from docloom.llm.exact_dedup import exact_groups
+
+    order = lambda df: sorted(map(str, df.drop("file_path", "row_index").collect()))
+    assert order(exact_groups(docs, batch_bytes=1)) == order(exact_groups(docs))
+
+
+def test_exact_dedup_state_outlives_a_stop(spark, tmp_path):
+    """Two runs with one checkpoint, each of several micro-batches: hits of the second find what the first has kept."""
+    from docloom.llm.exact_dedup import arrivals_state
+
+    rng, folder, seen = random.Random(6), f"file://{tmp_path}/in", []
+    for run in range(2):
+        rows = [(f"d{rng.randrange(60)}", None if k == 5 else rng.randrange(1000), f"f{run}", k) for k in range(200)]
+        seen += rows
+        df = spark.createDataFrame(rows, "digest string, doc_id long, file_path string, row_index long")
+        df.repartition(3).write.mode("append").parquet(folder)
+        state = arrivals_state(spark, folder, df.schema, checkpoint=f"file://{tmp_path}/state", batch_bytes=1).collect()
+        want = collections.defaultdict(list)
+        for digest, *rest in seen:
+            want[digest].append(tuple(rest))
+        biggest = lambda rows: max(rows, key=lambda r: (-1 if r[0] is None else r[0], *r[1:]))
+        assert {r.digest: (tuple(r.stays), r.arrived) for r in state} == {d: (biggest(v), len(v)) for d, v in want.items()}
+    assert len(list((tmp_path / "state" / "commits").glob("[0-9]*"))) >= 6
+
+
 def test_exact_dedup_of_nothing(none):
     from docloom.llm.exact_dedup import exact_groups, kept_rows
 
