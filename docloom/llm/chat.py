@@ -5,22 +5,25 @@ turn, ending with the assistant.  Each turn can stay, take another role, or be
 merged into the turn before it; empty turns can be put in.  A turn is thus a
 4 x 4 matrix of least costs between states of the automaton, and conversations
 are products of such matrices in (min, +).  Products are associative, so a long
-conversation is cut into blocks of turn numbers: each block gives its matrix,
-the few matrices of a conversation are composed, and each block is then solved
-by itself between the states that the composition has fixed.
+conversation is cut into blocks of turn numbers, and a block whose turn numbers
+repeat into parts: each part gives its matrix, the few matrices of a
+conversation are composed, and each part is then solved by itself between the
+states that the composition has fixed.  Only roles take part in that; texts pass
+once, row by row, beside one byte for each turn of their block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import slices, written
 
 ROLES = ("system", "user", "assistant")
 #: States: nothing said yet, or the role of the turn that was said last.
@@ -34,6 +37,10 @@ BLOCK = 4096
 #: How a turn is written.
 TEMPLATE = ("<|im_start|>{role}\n", "<|im_end|>\n")
 FAR = 1 << 40
+#: Names by number, as tables between the passes hold them.
+KNOWN = ("", *ROLES)
+ACTIONS = ("keep", "relabel", "merge")
+KEY = [("conv_id", pa.int64()), ("block", pa.int64()), ("part", pa.int64())]
 
 
 def _label(role: str, wanted: int) -> int:
@@ -108,34 +115,48 @@ def path(roles: list[str], start: int, end: int | None) -> tuple[int, list[tuple
     return total, out[::-1]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Rows that stand together with equal values in the first ``keys`` columns."""
-    now, rows = None, []
+def _parts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[tuple, int, list]]:
+    """Runs of rows with equal (conv_id, block), in parts of ``most`` rows: (conv_id, block), the part's number, its roles."""
+    now, part, roles = None, 0, []
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[:keys] != now:
-                if rows:
-                    yield now, rows
-                now, rows = row[:keys], []
-            rows.append(row[keys:])
-    if rows:
-        yield now, rows
-
-
-def _compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The entry and exit state of each block, from the blocks' matrices in order."""
-    for (conv,), blocks in _groups(batches, 1):
-        costs, steps = [0] + [FAR] * 3, []
-        for _, flat in blocks:
+        for conv, block, role in zip(*(c.to_pylist() for c in batch.columns)):
+            if (conv, block) != now or len(roles) == most:
+                if roles:
+                    yield now, part, roles
+                part = part + 1 if (conv, block) == now else 0
+                now, roles = (conv, block), []
+            roles.append(known_role(role))
+    if roles:
+        yield now, part, roles
+
+
+def _gathered(rows: Iterator[tuple], schema: pa.Schema, most: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Tuples as batches of at most ``most`` rows."""
+    while held := list(islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
+def _composed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """conv_id, block, part, entry, exit and whether it closes the conversation, of each part, from all parts' matrices in order."""
+
+    def solved() -> Iterator[tuple]:
+        state = min(range(4), key=lambda s: (costs[s] + closing(s), s))
+        for k in range(len(places) - 1, -1, -1):
+            entry = steps[4 * k + state]
+            yield now, *places[k], entry, state, k == len(places) - 1
+            state = entry
+
+    now, places, steps, costs, begun = None, [], bytearray(), [], False
+    for batch in batches:
+        for conv, block, part, flat in zip(*(c.to_pylist() for c in batch.columns)):
+            if conv != now or not begun:
+                yield from solved() if begun else ()
+                now, places, steps, costs, begun = conv, [], bytearray(), [0] + [FAR] * 3, True
             new = [min((costs[s] + flat[4 * s + t], s) for s in range(4)) for t in range(4)]
-            steps.append([s for _, s in new])
+            places.append((block, part))
+            steps += bytes(s for _, s in new)
             costs = [c for c, _ in new]
-        state = min(range(4), key=lambda s: (costs[s] + closing(s), s))
-        out = []
-        for (block, _), step in zip(reversed(blocks), reversed(steps)):
-            out.append((conv, block, step[state], state, not out))
-            state = step[state]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()])], ["conv_id", "block", "entry", "exit", "closes"])
+    yield from solved() if begun else ()
 
 
 def repaired(turns: DataFrame, *, block: int = BLOCK, template: tuple[str, str] = TEMPLATE) -> DataFrame:
@@ -154,48 +175,68 @@ def repaired(turns: DataFrame, *, block: int = BLOCK, template: tuple[str, str]
     dealt = narrow.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role").select("conv_id", "block", "role")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
-        for (conv, number), own in _groups(batches, 2):
-            matrix = IDENTITY
-            for (role,) in own:
-                matrix = least(matrix, known_role(role))
-            out.append((conv, number, [x for row in matrix for x in row]))
-            if len(out) == 5000:
-                yield _rows(out)
-                out = []
-        if out:
-            yield _rows(out)
-
-    def _rows(out: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), [pa.int64(), pa.int64(), pa.list_(pa.int64())])], ["conv_id", "block", "matrix"])
-
-    blocks = dealt.mapInArrow(matrices, "conv_id long, block long, matrix array<long>")
-    bounds = blocks.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(_compose, "conv_id long, block long, entry int, exit int, closes boolean")
-    bounds = written(bounds, "chat-bounds")
-    # A block's states come before its turns in the same stream, so no row is joined.
-    kinds = ["turn", "role", "text", "entry", "exit", "closes"]
-    lead = bounds.select("conv_id", "block", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("turn"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text"), "entry", "exit", "closes")
-    body = rows.select("conv_id", "block", F.lit(1).alias("kind"), "turn", "role", "text", F.lit(None).cast("int").alias("entry"), F.lit(None).cast("int").alias("exit"), F.lit(None).cast("boolean").alias("closes"))
-    both = lead.unionByName(body).repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "kind", "turn", "role", "text").select("conv_id", "block", *kinds)
+        def each() -> Iterator[tuple]:
+            for key, part, roles in _parts(batches, block):
+                matrix = IDENTITY
+                for role in roles:
+                    matrix = least(matrix, role)
+                yield *key, part, bytes(KNOWN.index(r) for r in roles), [x for row in matrix for x in row]
+
+        yield from _gathered(each(), pa.schema([*KEY, ("roles", pa.binary()), ("matrix", pa.list_(pa.int64()))]))
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _gathered(_composed(batches), pa.schema([*KEY, ("entry", pa.int32()), ("exit", pa.int32()), ("closes", pa.bool_())]))
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A byte for each turn: its state, action and the empty turn before it; and the empty turns after the last one."""
+
+        def each() -> Iterator[tuple]:
+            for batch in batches:
+                for conv, number, part, roles, entry, exit_, closes in zip(*(c.to_pylist() for c in batch.columns)):
+                    _, found = path([KNOWN[r] for r in roles], entry, exit_)
+                    tail = [] if not closes or exit_ in FINAL else [ASSISTANT] if exit_ == USER else [USER, ASSISTANT]
+                    yield conv, number, part, bytes(s | ACTIONS.index(a) << 2 | e << 4 for s, a, e in found), entry, bytes(tail) if closes else None
+
+        yield from _gathered(each(), pa.schema([*KEY, ("steps", pa.binary()), ("entry", pa.int32()), ("tail", pa.binary())]))
+
+    blocks = written(dealt.mapInArrow(matrices, "conv_id long, block long, part long, roles binary, matrix array<long>"), "chat-blocks")
+    ordered = blocks.select("conv_id", "block", "part", "matrix").repartition("conv_id").sortWithinPartitions("conv_id", "block", "part")
+    bounds = ordered.mapInArrow(compose, "conv_id long, block long, part long, entry int, exit int, closes boolean").alias("b")
+    same = F.col("r.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("r.block") == F.col("b.block")) & (F.col("r.part") == F.col("b.part"))
+    met = blocks.alias("r").join(bounds, same).select("r.conv_id", "r.block", "r.part", "r.roles", "b.entry", "b.exit", "b.closes")
+    solved = met.mapInArrow(steps, "conv_id long, block long, part long, steps binary, entry int, tail binary")
+    # A block's steps come before its turns in the same stream, so texts are joined with nothing.
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    lead = solved.select("conv_id", "block", F.lit(0).alias("kind"), F.col("part").alias("turn"), none("string", "role"), none("string", "text"), "steps", "entry", "tail")
+    body = rows.select("conv_id", "block", F.lit(1).alias("kind"), "turn", "role", "text", none("binary", "steps"), none("int", "entry"), none("binary", "tail"))
+    both = lead.unionByName(body).repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "kind", "turn", "role", "text")
     opening, end = template
-
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
-        for (conv, _), ((_, _, _, entry, exit_, closes), *own) in _groups(batches, 2):
-            _, steps = path([known_role(r[1]) for r in own], entry, exit_)
-            last = ROLES[ASSISTANT - 1] if closes and exit_ not in FINAL else None
-            for k, ((turn, role, text, *_), (state, action, empty)) in enumerate(zip(own, steps)):
-                before = "" if k == 0 and entry == START or action == "merge" else end
-                piece = ("\n" + text) if action == "merge" else (before + (opening.format(role=ROLES[empty - 1]) + end if empty else "") + opening.format(role=ROLES[state - 1]) + text)
-                final = closes and k == len(own) - 1
+    empty_turn = lambda state: opening.format(role=ROLES[state - 1]) + end
+
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, plan, at, first, tail, out, held = (), bytearray(), 0, True, None, [], 0
+        for batch in slices(batches, 5):
+            for conv, number, kind, turn, role, text, own, entry, last in zip(*(c.to_pylist() for c in batch.columns)):
+                if (conv, number) != now:
+                    now, plan, at, first, tail = (conv, number), bytearray(), 0, entry == START, None
+                if not kind:
+                    plan += own
+                    tail = last if last is not None else tail
+                    continue
+                state, action, empty = plan[at] & 3, ACTIONS[plan[at] >> 2 & 3], plan[at] >> 4
+                if action == "merge":
+                    piece = "\n" + text
+                else:
+                    piece = ("" if first and not at else end) + (empty_turn(empty) if empty else "") + opening.format(role=ROLES[state - 1]) + text
+                at += 1
+                final = tail is not None and at == len(plan)
                 if final:
-                    piece += end
-                    for role_ in ([ROLES[USER - 1]] if last and exit_ == SYSTEM else []) + ([last] if last else []):
-                        piece += opening.format(role=role_) + end
-                out.append((conv, turn, role, text, ROLES[state - 1], action, ROLES[empty - 1] if empty else None, last if final else None, piece))
-            if sum(len(r[3]) for r in out) > 4 << 20 or len(out) > 5000:
-                yield _batch(out)
-                out = []
+                    piece += end + "".join(map(empty_turn, tail))
+                out.append((conv, turn, role, text, ROLES[state - 1], action, ROLES[empty - 1] if empty else None, ROLES[tail[-1] - 1] if final and tail else None, piece))
+                held += len(text)
+                if held > 4 << 20 or len(out) == 5000:
+                    yield _batch(out)
+                    out, held = [], 0
         if out:
             yield _batch(out)
 
@@ -205,4 +246,4 @@ def repaired(turns: DataFrame, *, block: int = BLOCK, template: tuple[str, str]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if k < 2 else pa.string()) for k, x in enumerate(zip(*out))], names)
 
     schema = T.StructType([T.StructField(c, T.LongType() if k < 2 else T.StringType()) for k, c in enumerate(names)])
-    return both.mapInArrow(solve, schema)
+    return both.mapInArrow(render, schema)

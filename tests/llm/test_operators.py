@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import functools
 import hashlib
 import itertools
 import math
@@ -329,6 +330,72 @@ def cheapest(roles):
     return min(c + chat.closing(s) for s, c in costs.items())
 
 
+LEGAL = re.compile(r"s?(ua)+")
+
+
+@functools.cache
+def cheapest_of_all(roles):
+    """Least cost over all repairs, written out: a turn keeps or takes any role or joins the one before; up to one empty
+    turn of any role stands before it and up to two at the end; what is legal is a pattern over initials."""
+    price = lambda had, takes: 0 if had == takes else 3 if had in "sua" else 1
+    best = math.inf
+    gaps = ["", "s", "u", "a"]
+    for choice in itertools.product("suam", repeat=len(roles)):
+        for before in itertools.product(gaps, repeat=len(roles)):
+            said, cost = "", 0
+            for had, takes, gap in zip(roles, choice, before):
+                said, cost = said + gap, cost + 4 * len(gap)
+                if takes == "m":
+                    if not said or gap:
+                        cost = math.inf
+                        break
+                    cost += 2 + price(had, said[-1])
+                else:
+                    said, cost = said + takes, cost + price(had, takes)
+            if cost < best:
+                best = min([best] + [cost + 4 * len(end) for end in ("", "a", "ua") if LEGAL.fullmatch(said + end)])
+    return best
+
+
+@pytest.mark.parametrize("block", [1, 2, 4096])
+def test_chat_repair_against_every_sequence(spark, block):
+    from docloom.llm import chat
+
+    name = {"s": "system", "u": "user", "a": "assistant", "?": "tool"}
+    rows, wanted = [], {}
+    for conv, roles in enumerate(r for n in (1, 2, 3) for r in itertools.product("sua?", repeat=n)):
+        wanted[conv] = cheapest_of_all(roles)
+        # Turn numbers in order, or all null or equal with roles in the order in which they are taken then.
+        rows += [(conv, t, name[r], "") for t, r in enumerate(roles)]
+    got = chat.repaired(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), block=block).collect()
+    convs = collections.defaultdict(list)
+    for r in got:
+        convs[r.conv_id].append(r)
+    assert len(convs) == len(wanted)
+    for conv, own in convs.items():
+        own.sort(key=lambda r: r.turn)
+        said = "".join(role[0] for role in re.findall(r"<\|im_start\|>(\w+)\n", "".join(r.rendered for r in own)))
+        assert LEGAL.fullmatch(said)
+        kept = sum(r.action != "merge" for r in own)
+        changed = sum(0 if r.role == r.new_role else 1 if r.role == "tool" else 3 for r in own)
+        assert changed + 2 * (len(own) - kept) + 4 * (len(said) - kept) == wanted[conv]
+
+
+@pytest.mark.parametrize("turn", [None, 7])
+def test_chat_repair_of_one_turn_number(spark, turn):
+    """Many rows without a turn number, or with one and the same, in parts: the same repair as if they had numbers."""
+    from docloom.llm import chat
+
+    rng = random.Random(9)
+    rows = [(rng.choice(["user", "assistant", "system", None, "bot"]), rng.choice(["a", "b", "long " * 40_000, None])) for _ in range(300)]
+    rows.sort(key=lambda r: tuple((x is not None, x or "") for x in r))
+    table = lambda numbers: spark.createDataFrame([(1, t, *r) for t, r in zip(numbers, rows)], "conv_id long, turn long, role string, text string")
+    one = chat.repaired(table([turn] * len(rows)), block=16).collect()
+    many = chat.repaired(table(range(len(rows))), block=4096).collect()
+    spent = lambda out: sum((0 if chat.known_role(r.role) == r.new_role else 3 if chat.known_role(r.role) else 1) + 2 * (r.action == "merge") + 4 * (r.inserted is not None) for r in out)
+    assert len(one) == len(rows) and spent(one) == spent(many)
+
+
 def test_chat_moves_are_legal():
     from docloom.llm import chat
 
