@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import Vocabulary, file_name, read_ranks, shipped
-from .common import slices, text_or_empty
+from .common import slices, text_or_empty, tidily
 
 
 class Codec:
@@ -131,4 +131,4 @@ def encoded(df: DataFrame, path: str, pattern: str, *, text: str = "text", ids:
             new = [pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], *new], [*keep, *names])
 
-    return df.select(*(df[c] for c in keep), text_or_empty(df, text).alias("__text")).mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), *added]))
+    return df.select(*(df[c] for c in keep), text_or_empty(df, text).alias("__text")).mapInArrow(tidily(run), T.StructType([*(df.schema[c] for c in keep), *added]))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,37 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
+#: What this worker keeps from one task to the next, under one name: see ``kept``.
+_kept: dict[object, object] = {}
+
+
+def kept(name: object, make: Callable[[], object]) -> object:
+    """What ``make`` returns, made once in a worker and kept until another operator's task or another name comes."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def tidily(run: Callable, keeps: bool = False) -> Callable:
+    """``run`` for ``mapInArrow``, in a worker that serves one stage after the other: what earlier operators keep is dropped
+    first (unless ``run`` itself ``keeps``), and memory that was freed goes back to the system at the end."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            _kept.clear()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim is not None:
+                trim(0)
+
+    task.__name__ = run.__name__  # plans name it
+    return task
+
+
 def text_or_empty(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, mix64, slices, text_or_empty, written
+from .common import bytes_of, mix64, slices, text_or_empty, tidily, written
 from .components import components
 from .shingles import sets_of, shingle_rows, signature
 
@@ -277,14 +277,14 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     side = lambda x: sets.select(F.col("sid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "tokens", "second", "third")))
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(_verified, "a long, b long")
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(tidily(_verified), "a long, b long")
 
 
 def _survivors(first: DataFrame) -> DataFrame:
     """sid and the number of shown members that other sets show too, of the sets of the first pass."""
     rows = first.where("octet_length(known) + octet_length(fresh) > 0").select("sid", "known", "fresh")
-    tokens = rows.mapInArrow(_tokens, "token long, sid long, known boolean")
-    met = tokens.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(_shared, "sid long, n long")
+    tokens = rows.mapInArrow(tidily(_tokens), "token long, sid long, known boolean")
+    met = tokens.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(tidily(_shared), "sid long, n long")
     local = first.where("shared > 0").select("sid", F.col("shared").alias("n"))
     return met.unionByName(local).groupBy("sid").agg(F.sum("n").alias("shared"))
 
@@ -297,7 +297,7 @@ def _may_link(n_a: F.Column, m_a: F.Column, n_b: F.Column, m_b: F.Column) -> F.C
 
 def _roots(sets: DataFrame) -> DataFrame:
     """node and root of all sets that are linked with another. ``sets``: a written table of _ordered."""
-    postings = written(sets.select("sid", "n", "m", "weight", "first").mapInArrow(_postings, "token long, sid long, n long, m long, weight double"), "near-postings")
+    postings = written(sets.select("sid", "n", "m", "weight", "first").mapInArrow(tidily(_postings), "token long, sid long, n long, m long, weight double"), "near-postings")
     # Pivots: the set of a bucket whose members are the most frequent, as those of an original among its near copies are, and
     # then the one that shares the largest part of its members.
     own = ("sid", "n", "m", "root")
@@ -317,7 +317,7 @@ def _roots(sets: DataFrame) -> DataFrame:
         else:
             # A pair is taken at the first member that its prefixes share, so it comes up once.
             busy = now.join(open_.select("token"), "token", "left_semi").groupBy("sid", "root").agg(F.count("*").alias("open")).select("sid", "root")
-            opened = sets.join(busy, "sid", "left_semi").select("sid", "n", "m", "first").mapInArrow(_openings, "token long, sid long, n long, m long, before array<long>")
+            opened = sets.join(busy, "sid", "left_semi").select("sid", "n", "m", "first").mapInArrow(tidily(_openings), "token long, sid long, n long, m long, before array<long>")
             active = opened.join(open_.select("token"), "token", "left_semi").join(busy, "sid")
             x, y = (active.select("token", F.col("sid").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in (*own[1:], "before"))) for k in "ab")
             may = (F.col("root_a") < F.col("root_b")) & _may_link(*(F.col(c) for c in ("n_a", "m_a", "n_b", "m_b")))
@@ -342,14 +342,14 @@ def near_groups(docs: DataFrame, mark: F.Column | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), (F.lit(None) if mark is None else mark).cast("string").alias("mark"), text_or_empty(docs).alias("text"))
-    first = written(rows.mapInArrow(_first_pass, "doc_id long, mark string, n long, sig binary, sid long, shared long, known binary, fresh binary"), "near-first")
+    first = written(rows.mapInArrow(tidily(_first_pass), "doc_id long, mark string, n long, sig binary, sid long, shared long, known binary, fresh binary"), "near-first")
     sets = written(first.where("n > 0").groupBy("sig", "sid", "n").agg(F.min("doc_id").alias("rep")), "near-sets")
     counts = _survivors(first)
     left = written(sets.join(counts, "sid").where(F.col("shared") >= 1 + F.floor(F.expr(f"(n * {PERCENT} + {PERCENT_OF - 1}) div {PERCENT_OF}") / 16)).select("sid", "sig", "rep"), "near-left")
     texts = rows.join(left, rows["doc_id"].eqNullSafe(left["rep"])).select("sid", "sig", "text")
-    members = texts.mapInArrow(_members, "token long, sid long, n long")
-    shared = members.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(_frequencies, "sid long, n long, df int, token long")
-    ordered = shared.repartition("sid").sortWithinPartitions("sid", "df", "token").mapInArrow(_ordered, "sid long, n long, m long, weight double, tokens binary, first binary, second binary, third binary")
+    members = texts.mapInArrow(tidily(_members), "token long, sid long, n long")
+    shared = members.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(tidily(_frequencies), "sid long, n long, df int, token long")
+    ordered = shared.repartition("sid").sortWithinPartitions("sid", "df", "token").mapInArrow(tidily(_ordered), "sid long, n long, m long, weight double, tokens binary, first binary, second binary, third binary")
     ordered = written(ordered, "near-ordered")
     roots = _roots(ordered)
     linked = sets.join(roots, sets["sid"] == roots["node"])

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Vocabulary, file_name, read_json, shipped
-from .common import bytes_of, mix64, slices, text_or_empty
+from .common import bytes_of, kept, mix64, slices, text_or_empty, tidily
 
 #: Characters of a chunk.
 CHUNK = 512
@@ -341,9 +341,6 @@ def count_tokens(transducer: CountTransducer, data: np.ndarray, offsets: np.ndar
     return counts
 
 
-_compiled: dict[object, CountTransducer] = {}
-
-
 def token_counts(df: DataFrame, path: str, text: str = "text", count: str = "n_tokens", keep_text: bool = False) -> DataFrame:
     """``df`` with the token count of every whole text in column ``count``, which replaces one of that name.
 
@@ -358,16 +355,13 @@ def token_counts(df: DataFrame, path: str, text: str = "text", count: str = "n_t
     wide = df.select(*(df[c] for c in keep), text_or_empty(df, text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = _compiled.get(name)
-        if machine is None:
-            _compiled.clear()  # one at a time: a machine takes a hundred megabytes
-            machine = _compiled[name] = CountTransducer(held.value)
-        for batch in slices(batches, at, 2 << 20):
+        machine = kept(name, lambda: CountTransducer(held.value))  # it takes a hundred megabytes
+        for batch in slices(batches, at, 1 << 20):
             n = count_tokens(machine, *bytes_of(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(n, pa.int64())], [*keep, count])
 
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(count, T.LongType())])
-    return wide.mapInArrow(run, schema)
+    return wide.mapInArrow(tidily(run, keeps=True), schema)
 
 
 def counted(df: DataFrame, path: str, limit: int = 512) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATOR, bytes_of, slices, text_or_empty, written
+from .common import SEPARATOR, bytes_of, slices, text_or_empty, tidily, written
 from .shingles import word_hashes
 
 #: Labelled documents that are learnt from at most (those with the smallest hash of doc_id), and of their sentences about how many
@@ -414,10 +414,10 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_sente
     n = [sum(number.get((c, y), 0) for c in ((False,) if apart else (False, True))) for y in (0, 1)]
     if not all(n):
         return fit(np.zeros((0, WIDTH), np.uint8), np.zeros(0), np.zeros(0), n[1], n[0])
-    own = written(learnt.select("doc_id", "toxic", "text").mapInArrow(_sentence_rows, "doc_id long, toxic int, place long, strings binary"), "toxic-sentences")
+    own = written(learnt.select("doc_id", "toxic", "text").mapInArrow(tidily(_sentence_rows), "doc_id long, toxic int, place long, strings binary"), "toxic-sentences")
     part = min(1.0, most_sentences / max(1, own.count()))
     some = own.where(F.pmod(F.xxhash64("strings", "doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)))
-    each = some.select("doc_id", "toxic", "strings").mapInArrow(_string_rows, "doc_id long, toxic int, a long, b long").distinct()
+    each = some.select("doc_id", "toxic", "strings").mapInArrow(tidily(_string_rows), "doc_id long, toxic int, a long, b long").distinct()
     counts = each.groupBy("a", "b").agg(F.sum("toxic").alias("ones"), F.sum(1 - F.col("toxic")).alias("zeros")).toArrow().sort_by([("a", "ascending"), ("b", "ascending")])
     table = np.stack([counts.column("a").to_numpy(), counts.column("b").to_numpy()], 1).view(np.uint8).reshape(-1, WIDTH)
     model = fit(table, counts.column("ones").to_numpy(), counts.column("zeros").to_numpy(), n[1], n[0])
@@ -429,7 +429,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_sente
             found = shared.value.evidence(*bytes_of(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(found), pa.list_(pa.float64()))], ["doc_id", "toxic", "evidence"])
 
-    seen = (rows.where("curve") if apart else rows).select("doc_id", "toxic", "text").mapInArrow(evidence, "doc_id long, toxic int, evidence array<double>").toArrow().sort_by("doc_id")
+    seen = (rows.where("curve") if apart else rows).select("doc_id", "toxic", "text").mapInArrow(tidily(evidence), "doc_id long, toxic int, evidence array<double>").toArrow().sort_by("doc_id")
     model.slopes, model.shift = _curve(np.array(seen.column("evidence").to_pylist()), seen.column("toxic").to_numpy())
     shared.destroy()
     return model
@@ -448,7 +448,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "scor
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, pa.float64())], [*names, score])
 
     schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(score, T.DoubleType())])
-    return docs.select(*(docs[c] for c in names), text_or_empty(docs, text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(docs[c] for c in names), text_or_empty(docs, text).alias("__text")).mapInArrow(tidily(run), schema)
 
 
 #: A document is toxic from this score on.
@@ -472,4 +472,4 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
             score = shared.value.scores(*bytes_of(batch.column(2)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(score, pa.float64()), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return narrow.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return narrow.mapInArrow(tidily(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
