@@ -237,3 +237,21 @@ def test_running_lines_against_counts(spark):
         runs = ("page 1", "page 2", "7", "draft x")
         want = [x for x in every if not (x.strip(" ").lower() in runs and counts[x.strip(" ")] > least)]
         assert one(spark, "\n".join(every), text.without_running_lines) == "\n".join(want)
+
+
+def test_hashing_finds_the_nearest_without_pairs(spark):
+    import numpy as np
+
+    x = np.random.default_rng(3).normal(size=(900, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = [(k, e.tolist()) for k, e in enumerate(x)] + [(900, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    asks = df.where("vec_id % 20 = 0")
+    keys = lambda found: {(r.query_id, r.vec_id, r["rank"]) for r in found.collect()}
+    true = {(r.query_id, r.vec_id) for r in search.nearest(asks, df, 10, "ip").collect()}
+    few = search.nearest_by_hashing(asks, df, bucket=0.05, tables=60)
+    found = keys(few)
+    assert len({(q, d) for q, d, _ in found} & true) >= 0.9 * len(true) and keys(search.nearest_by_hashing(asks, df, bucket=0.05, tables=60, block=7)) == found
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and all(r["rank"] <= 10 and r.query_id != r.vec_id for r in few.collect())
+    assert search.nearest_by_hashing(asks.where("false"), df).count() == 0 and search.nearest_by_hashing(asks, df.where("false")).count() == 0
