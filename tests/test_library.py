@@ -255,3 +255,20 @@ def test_hashing_finds_the_nearest_without_pairs(spark):
     plan = few._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and all(r["rank"] <= 10 and r.query_id != r.vec_id for r in few.collect())
     assert search.nearest_by_hashing(asks.where("false"), df).count() == 0 and search.nearest_by_hashing(asks, df.where("false")).count() == 0
+
+
+def test_bm25_with_null_texts_as_its_sql(spark, tmp_path):
+    import duckdb
+
+    from docloom.plans import registry
+
+    docs = [(k, None if k % 3 == 0 else " ".join(f"w{(k * j) % 17}" for j in range(1 + k % 7))) for k in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "w1 w2 w5"), (2, "w3 w3")], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    columns = "query_id, doc_id, score, rank"
+    for name in ("bm25", "bm25_elastic", "filter_bm25_positive"):
+        got = sorted(map(tuple, registry.queries()[name](spark, str(tmp_path)).select(*columns.split(", ")).collect()))
+        assert got == sorted(con.sql(f"select {columns} from ({registry.oracle_sql()[name]})").fetchall()) and (got or name[0] == "f")
