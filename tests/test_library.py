@@ -272,3 +272,21 @@ def test_bm25_with_null_texts_as_its_sql(spark, tmp_path):
     for name in ("bm25", "bm25_elastic", "filter_bm25_positive"):
         got = sorted(map(tuple, registry.queries()[name](spark, str(tmp_path)).select(*columns.split(", ")).collect()))
         assert got == sorted(con.sql(f"select {columns} from ({registry.oracle_sql()[name]})").fetchall()) and (got or name[0] == "f")
+
+
+def test_unit_vectors_as_their_sql(spark, tmp_path):
+    import duckdb
+    import numpy as np
+
+    from docloom.plans import registry
+
+    rows = [(1, [1.0, -1e-9, 1e-9]), (2, [0.0, 0.0]), (3, [-3.0, 4.0]), (4, []), (5, None), (6, [1e200, 1.0]), (7, [-1e-200])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create table embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet' where embedding is not null")  # SQL refuses null
+    want = dict(con.sql(registry.oracle_sql()["l2_normalize"]).fetchall())
+    got = {r.vec_id: r.unit for r in registry.queries()["l2_normalize"](spark, str(tmp_path)).collect()}
+    assert got.pop(5, 0) is None and repr(got) == repr({k: want[k] for k in got}) and len(got) == 6
+    x = np.random.default_rng(5).normal(size=500) / 8
+    ours = spark.createDataFrame([(x.tolist(),)], "x array<double>").select(F.transform("x", lambda y: v.rounded(y, 3)).alias("x")).first().x
+    assert repr(ours) == repr([con.execute("select round(?::double, 3)", [y]).fetchone()[0] for y in x.tolist()])
