@@ -86,6 +86,11 @@ def priced(usage: DataFrame) -> DataFrame:
     return p.withColumn("cost", cost).drop("prompt_price", "completion_price")
 
 
+def total_cost(cost: Column, places: int) -> Column:
+    """The sum of costs, added as decimals, so that neither partitions nor the order of rows turn a tie the other way; half goes up."""
+    return F.round(F.sum(cost.cast("decimal(28,12)")), places).cast("double")
+
+
 def suppressed(alerts: DataFrame, seconds: int = 300) -> DataFrame:
     """The alerts that go out: of one key, none within ``seconds`` of the last one that went out.
 

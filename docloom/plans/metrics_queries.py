@@ -93,18 +93,18 @@ def join_model_config(spark, d):
 
 @query(f"SELECT model, round(sum(cost), 4) AS cost FROM ({COST}) GROUP BY model")
 def agg_cost(spark, d):
-    return m.priced(usage(spark, d)).groupBy("model").agg(F.round(F.sum("cost"), 4).alias("cost"))
+    return m.priced(usage(spark, d)).groupBy("model").agg(m.total_cost(F.col("cost"), 4).alias("cost"))
 
 
 @query(f"SELECT model, count(*) AS requests, CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS tokens, round(avg(prompt_tokens), 4) AS prompt_mean, round(sum(cost), 2) AS cost FROM ({COST}) GROUP BY model")
 def agg_model_summary(spark, d):
     p = m.priced(usage(spark, d))
-    return p.groupBy("model").agg(F.count("*").alias("requests"), F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"), F.round(F.avg("prompt_tokens"), 4).alias("prompt_mean"), F.round(F.sum("cost"), 2).alias("cost"))
+    return p.groupBy("model").agg(F.count("*").alias("requests"), F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"), F.round(F.avg("prompt_tokens"), 4).alias("prompt_mean"), m.total_cost(F.col("cost"), 2).alias("cost"))
 
 
 @query(f"SELECT count(*) AS requests, CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS tokens, round(sum(cost), 3) AS cost FROM ({COST})")
 def agg_totals(spark, d):
-    return m.priced(usage(spark, d)).agg(F.count("*").alias("requests"), F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"), F.round(F.sum("cost"), 3).alias("cost"))
+    return m.priced(usage(spark, d)).agg(F.count("*").alias("requests"), F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"), m.total_cost(F.col("cost"), 3).alias("cost"))
 
 
 LIMIT = CASE(m.LIMITS, lambda k: f"model = '{k}'", CASE(m.LIMITS, lambda k: f"starts_with(model, '{k}')", m.DEFAULT_LIMIT))

@@ -290,3 +290,11 @@ def test_unit_vectors_as_their_sql(spark, tmp_path):
     x = np.random.default_rng(5).normal(size=500) / 8
     ours = spark.createDataFrame([(x.tolist(),)], "x array<double>").select(F.transform("x", lambda y: v.rounded(y, 3)).alias("x")).first().x
     assert repr(ours) == repr([con.execute("select round(?::double, 3)", [y]).fetchone()[0] for y in x.tolist()])
+
+def test_costs_that_add_up_to_a_tie(spark, tmp_path):
+    from docloom.plans import registry
+
+    rows = [(4, 1, "assistant", "x" * 236), (4, 2, "user", ""), (4, 3, "assistant", "x" * 144)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = registry.queries()["agg_cost"](spark, str(tmp_path)).collect()
+    assert [(r.model, r.cost) for r in got] == [("unlisted", 0.0029)]  # 0.00285, as doubles 0.0028499999999999997
