@@ -843,3 +843,26 @@ def test_runs_against_all_rows_of_runs():
             good = [(a, b) for a in edges[::2] for b in edges[1::2] if a < b and 5 * match[a:b].sum() >= 4 * (b - a)]
             most = {(a, b) for a, b in good if not any((c, d) != (a, b) and c <= a and b <= d for c, d in good)}
             assert {(r[0][0], r[-1][1]) for r in _runs(match)} == most
+
+
+def test_repeats_half_in_a_common_passage(spark):
+    # All documents of a group share 60 words, some also the 25 that follow: a repeat that lies half in a passage found elsewhere.
+    from docloom.llm import passages
+
+    docs, tail_of = [], {}
+    for seed in range(4):
+        rng = random.Random(seed)
+        words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]  # noqa: B023, E731
+        common, tails = words(60), [words(25) for _ in range(40)]
+        order = [t for t in range(40) for _ in range(3)]
+        rng.shuffle(order)
+        for k, t in enumerate(order):
+            docs.append((1000 * seed + k, " ".join(words(30) + common + tails[t] + words(30))))
+            tail_of[docs[-1][0]] = (seed, t)
+    covered = {}
+    for r in passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        covered.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    seen = set()
+    for k, _ in docs:
+        assert tail_of[k] not in seen or set(range(30, 115)) <= covered[k]
+        seen.add(tail_of[k])
