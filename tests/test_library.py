@@ -274,6 +274,20 @@ def test_bm25_with_null_texts_as_its_sql(spark, tmp_path):
         assert got == sorted(con.sql(f"select {columns} from ({registry.oracle_sql()[name]})").fetchall()) and (got or name[0] == "f")
 
 
+def test_bm25_scores_are_rounded_as_sql_rounds(spark):
+    import duckdb
+    import numpy as np
+
+    from docloom.plans import retrieval_queries
+
+    sql = lambda x, places: duckdb.execute("select round(?::double, ?)", [x, places]).fetchall()[0][0]
+    scores = [16.0416705, 32.7364305, 32.7583935, 8.0000005, 5.0000015, 7.25, 1e-7]
+    got = retrieval_queries.rounded(spark.createDataFrame([(x,) for x in scores], "score double")).collect()
+    assert [r.score for r in got] == [sql(x, 6) for x in scores]
+    halves = [1 / 1024, 3 / 1024, 5 + 1 / 1024, 16.0416705, 0.0]
+    assert search._nine(np.array(halves)).tolist() == [sql(x, 9) for x in halves]
+
+
 def test_unit_vectors_as_their_sql(spark, tmp_path):
     import duckdb
     import numpy as np
