@@ -274,6 +274,22 @@ def test_bm25_with_null_texts_as_its_sql(spark, tmp_path):
         assert got == sorted(con.sql(f"select {columns} from ({registry.oracle_sql()[name]})").fetchall()) and (got or name[0] == "f")
 
 
+def test_bm25_of_more_matches_than_a_million(spark, tmp_path):
+    import duckdb
+
+    from docloom.plans import registry
+
+    # 1,000,020 of 2,250,045 documents have the word, so often in the query that all of them score above 5.
+    con = duckdb.connect()
+    con.sql(f"copy (select range as doc_id, case when range % 9 < 4 then 'w' else 'x' end as text from range(2250045)) to '{tmp_path}/documents.parquet'")
+    con.sql(f"copy (select 1::bigint as item_id, repeat('w ', 80) as text) to '{tmp_path}/benchmark.parquet'")
+    for name in ("documents", "benchmark"):
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
+    want = con.sql(f"select count(*), max(rank), min(score), max(doc_id) from ({registry.oracle_sql()['filter_bm25_positive']})").fetchall()[0]
+    got = registry.queries()["filter_bm25_positive"](spark, str(tmp_path)).agg(F.count("*"), F.max("rank"), F.min("score"), F.max("doc_id")).first()
+    assert tuple(got) == want and got[0] == got[1] == 1_000_020
+
+
 def test_bm25_scores_are_rounded_as_sql_rounds(spark):
     import duckdb
     import numpy as np
